@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import bpe, sharding, token_counts, url_lists
+from ionlake.llm import bpe, decontaminate, sharding, simhash, token_counts, url_lists
 from ionlake.llm.common import table
 
 #: Shards of the production layout.
@@ -26,6 +26,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"], sharding.fill_table(SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Captures come without a time, so each gets one within 2024 from its id.
 YEAR_START, YEAR_SECONDS = 1704067200, 31536000
 #: Rules for whole domains, as (entry_id, domain, action, effective).
@@ -89,6 +97,8 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op8_simhash": op8_simhash,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op10_url_filters": OP10_SQL}
