@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +34,25 @@ def get_session(app: str = "ionlake", master: str | None = None, shuffle_partiti
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once for each application, so that workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="ionlake-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(folder, "ionlake.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(at, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
