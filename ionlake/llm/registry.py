@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import bpe, decontaminate, sharding, simhash, token_counts, url_lists
+from ionlake.llm import bpe, decontaminate, quality_rules, sharding, simhash, token_counts, toxicity, url_lists
 from ionlake.llm.common import table
 
 #: Shards of the production layout.
@@ -17,6 +17,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
 
@@ -30,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,9 +103,11 @@ FROM cap c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op10_url_filters": op10_url_filters,
 }
