@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import bpe, decontaminate, quality_rules, sharding, simhash, token_counts, toxicity, url_lists
+from ionlake.llm import bpe, decontaminate, language, quality, quality_rules, sharding, simhash, token_counts, toxicity, url_lists
 from ionlake.llm.common import table
 
 #: Shards of the production layout.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def quality_ratings(labels: DataFrame) -> DataFrame:
+    """Grades from the labels: 0 poor, 1 good prose that is toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 2 - F.coalesce("toxic", F.lit(0)))
+    return labels.select("doc_id", grade.cast("int").alias("grade"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), quality_ratings(table(spark, sf_dir, "labels")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "doc_id")
 
@@ -42,6 +52,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 #: Captures come without a time, so each gets one within 2024 from its id.
 YEAR_START, YEAR_SECONDS = 1704067200, 31536000
 #: Rules for whole domains, as (entry_id, domain, action, effective).
@@ -102,6 +116,7 @@ FROM cap c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
 """
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
@@ -109,6 +124,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES = {"op10_url_filters": OP10_SQL}
