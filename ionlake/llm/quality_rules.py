@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, at_most, map_text
+from ionlake.llm.common import Written, at_most
 
 WINDOW = 8
 #: Share of a group's vectors that an estimate rests on.
@@ -85,15 +85,6 @@ def word_stats(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, len(raw) - len(raw.translate(None, _SIGNS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def statistics(docs: DataFrame, *carry: str) -> DataFrame:
-    """``carry`` columns with the five statistics of every whole text."""
-
-    def run(texts):
-        return {k: pa.array(v, pa.int64()) for k, v in zip(_NAMES, zip(*map(word_stats, texts), strict=True) if texts else [[]] * 5, strict=True)}
-
-    return map_text(docs, run, _STATS, *carry)
-
-
 def base_failed():
     """The base rule: too few words, or too large a part of them in repeated windows."""
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -226,23 +217,33 @@ def estimates(vecs: DataFrame, tables: Written, broadcast_groups: int = 20_000)
     return tables.put(best.select("g", "e.*").where((F.col("n") >= MIN_GROUP) | (F.col("g") == "a")))
 
 
-def judge(docs: DataFrame, *carry: str, broadcast_groups: int = 20_000) -> DataFrame:
-    """``carry`` columns of every row with its statistics, ``base_failed``, ``distance`` and ``kept``.
+def _packed(docs: DataFrame, carry: list[str], text: bool) -> DataFrame:
+    """``row``, a struct of the carried columns, with ``keys``, the statistics and ``base_failed``.
 
-    ``kept`` is false where the base rule fails, else whether the squared Mahalanobis distance to the estimate of the
-    row's language and source (null is a value of its own; small groups fall back) is within the cut. ``distance`` is
-    null where the base rule fails. Null and empty texts have no words and fail it. Repeated rows each get a row and
-    weigh as often; other columns are not read; an empty table gives an empty one.
+    With ``text``, the carried text is the one that is measured, so that it is sent once.
     """
-    tables = Written(docs.sparkSession, "quality")
-    group = [F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
-    named = docs.select(*[F.col(c).alias(f"__{c}") for c in carry], *group, "text")
-    stats = statistics(named, *[f"__{c}" for c in carry], "lang", "source")
-    stats = tables.put(stats.withColumn("base_failed", base_failed()).withColumn("keys", _keys()))
-    vecs = stats.where(~F.col("base_failed")).select("keys", *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    found = estimates(vecs, tables, broadcast_groups)
-    small = at_most(found, broadcast_groups)
-    rows = stats
+    group = [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
+    rows = docs.select(F.struct(*carry).alias("row"), *group, *([] if text else [F.col("text").cast("string").alias("text")]))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            texts = (b.column("row").field("text") if text else b.column("text")).to_pylist()
+            made = zip(*map(word_stats, texts), strict=True) if texts else [[]] * 5
+            cols = {c: b.column(c) for c in ("row", "lang", "source")} | {k: pa.array(v, pa.int64()) for k, v in zip(_NAMES, made, strict=True)}
+            yield pa.RecordBatch.from_pydict(cols)
+
+    out = rows.mapInArrow(run, f"row {kinds['row']}, lang string, source string, {_STATS}")
+    return out.withColumn("base_failed", base_failed()).withColumn("keys", _keys()).drop("lang", "source")
+
+
+def _vectors(stats: DataFrame) -> DataFrame:
+    return stats.where(~F.col("base_failed")).select("keys", *[x.alias(f"x{i}") for i, x in enumerate(vector())])
+
+
+def _verdict(stats: DataFrame, found: DataFrame, broadcast_groups: int) -> DataFrame:
+    """``distance`` and ``kept`` for rows with statistics."""
+    small, rows = at_most(found, broadcast_groups), stats
     for level in range(3):
         e = found.select(F.col("g").alias(f"g{level}"), F.struct("mean", "prec", "scale").alias(f"e{level}"))
         on = F.element_at("keys", level + 1) == F.col(f"g{level}")
@@ -250,5 +251,33 @@ def judge(docs: DataFrame, *carry: str, broadcast_groups: int = 20_000) -> DataF
     rows = rows.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumn("mean", F.col("e.mean")).withColumn("prec", F.col("e.prec"))
     d2 = F.when(~F.col("base_failed"), _distance(vector()) / F.col("e.scale"))
     cut = chi2_quantile(REJECT_SHARE, DIM, upper=True)
-    rows = rows.withColumn("distance", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True)))
-    return rows.select(*[F.col(f"__{c}").alias(c) for c in carry], *_NAMES, "base_failed", "distance", "kept")
+    return rows.withColumn("distance", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True)))
+
+
+def judge(docs: DataFrame, *carry: str, broadcast_groups: int = 20_000) -> DataFrame:
+    """``carry`` columns of every row with its statistics, ``base_failed``, ``distance`` and ``kept``.
+
+    ``kept`` is false where the base rule fails, else whether the squared Mahalanobis distance to the estimate of the
+    row's language and source (null is a value of its own; small groups fall back) is within the cut. ``distance`` is
+    null where the base rule fails. Null and empty texts have no words and fail it. Repeated rows each get a row and
+    weigh as often; other columns are not read; an empty table gives an empty one.
+    """
+    tables = Written(docs.sparkSession, "quality")
+    stats = tables.put(_packed(docs, list(carry), False))
+    found = estimates(_vectors(stats), tables, broadcast_groups)
+    rows = _verdict(stats, found, broadcast_groups)
+    return rows.select("row.*", *_NAMES, "base_failed", "distance", "kept")
+
+
+def keep(docs: DataFrame, broadcast_groups: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps.
+
+    The estimates come from statistics written without the texts; a second pass measures each text again and drops
+    what is rejected, so texts are neither written in between nor shuffled while estimates are few enough to broadcast.
+    """
+    tables = Written(docs.sparkSession, "quality-keep")
+    stats = tables.put(_packed(docs, ["lang"], False))
+    found = estimates(_vectors(stats), tables, broadcast_groups)
+    tables.drop(stats)
+    rows = _verdict(_packed(docs, docs.columns, True), found, broadcast_groups)
+    return rows.where("kept").select("row.*")
