@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ionlake.plans import matrix_queries
+
+QUERIES = dict(matrix_queries.QUERIES)
+ORACLES = dict(matrix_queries.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Groups that pass the coefficient-of-variation filter in some region."""
+    return QUERIES["cv_filter_grouped"](spark, sf_dir)
