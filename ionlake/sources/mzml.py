@@ -15,8 +15,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan
 from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThan
 
 SPECTRUM = "sample_id string, scan int, ms_level int, polarity int, time double, centroid boolean, mz array<double>, intensity array<double>"
 CHROMATOGRAM = "sample_id string, index int, name string, time array<double>, intensity array<double>"
@@ -112,7 +112,8 @@ class Range(InputPartition):
 
 
 class MZMLSource(DataSource):
-    """Options: ``kind`` (spectrum or chromatogram), ``chunk`` (spectra of a partition), ``rebuild_index``."""
+    """Options: ``kind`` (spectrum or chromatogram), ``chunk`` (spectra of a partition), ``rebuild_index``,
+    ``pushdown`` (needs ``spark.sql.python.filterPushdown.enabled``; ``load`` sees to both)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,7 +123,7 @@ class MZMLSource(DataSource):
         return CHROMATOGRAM if self.options.get("kind") == "chromatogram" else SPECTRUM
 
     def reader(self, schema) -> DataSourceReader:
-        return MZMLSourceReader(self.options)
+        return (PushingReader if self.options.get("pushdown") == "true" else MZMLSourceReader)(self.options)
 
 
 class MZMLSourceReader(DataSourceReader):
@@ -134,18 +135,6 @@ class MZMLSourceReader(DataSourceReader):
         self.kind, self.chunk, self.rebuild = options.get("kind", "spectrum"), int(options.get("chunk", 1000)), options.get("rebuild_index", "false") == "true"
         self.level, self.lo, self.hi = None, float("-inf"), float("inf")
 
-    def pushFilters(self, filters):
-        for f in filters:
-            at = f.attribute
-            if self.kind == "spectrum" and isinstance(f, EqualTo) and at == ("ms_level",):
-                self.level = f.value
-            elif self.kind == "spectrum" and isinstance(f, GreaterThanOrEqual) and at == ("time",):
-                self.lo = max(self.lo, f.value)
-            elif self.kind == "spectrum" and isinstance(f, LessThan) and at == ("time",):
-                self.hi = min(self.hi, f.value)
-            else:
-                yield f
-
     def partitions(self):
         out = []
         for path in self.files:
@@ -166,6 +155,22 @@ class MZMLSourceReader(DataSourceReader):
                     yield sample, s["scan"], s["ms_level"], s["polarity"], s["time"], s["centroid"], s["mz"].tolist(), s["intensity"].tolist()
 
 
+class PushingReader(MZMLSourceReader):
+    """Takes filters on ms_level and time before arrays are decoded."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            at = f.attribute
+            if self.kind == "spectrum" and isinstance(f, EqualTo) and at == ("ms_level",):
+                self.level = f.value
+            elif self.kind == "spectrum" and isinstance(f, GreaterThanOrEqual) and at == ("time",):
+                self.lo = max(self.lo, f.value)
+            elif self.kind == "spectrum" and isinstance(f, LessThan) and at == ("time",):
+                self.hi = min(self.hi, f.value)
+            else:
+                yield f
+
+
 class MZMLFile:
     """Random access to one file."""
 
@@ -206,6 +211,8 @@ def load(spark: SparkSession, path: str, reader: str | None = None, **options):
     if name not in READERS:
         raise KeyError(f"no reader {name!r}")
     spark.dataSource.register(READERS[name])
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options.setdefault("pushdown", "true")
     return spark.read.format(READERS[name].name()).options(**options).load(path)
 
 
