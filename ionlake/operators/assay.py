@@ -181,22 +181,24 @@ class DescriptorPatcher(Patcher):
 
 @dataclass(frozen=True)
 class LCFeatureMatcher(Operator):
-    """Sets the group of every feature."""
+    """Sets the group of every feature; groups that split one species are merged unless ``max_sample_overlap`` is None."""
 
     tier: ClassVar[str] = "assay"
     makes: ClassVar[AssayStatus] = AssayStatus(feature_matched=True)
     mz_tolerance: float = 0.01
-    rt_tolerance: float = 5.0
+    rt_tolerance: float = 3.0
     min_fraction: float = 0.25
     max_deviation: float = 3.0
-    max_sample_overlap: float | None = None
+    max_sample_overlap: float | None = 0.25
     groups: tuple = ()
+    # By instrument and separation.
+    presets: ClassVar[dict[str, dict]] = {f"{i}-{s}": {"mz_tolerance": t, "rt_tolerance": r} for i, t in (("qtof", 0.01), ("orbitrap", 0.005)) for s, r in (("uplc", 5.0), ("hplc", 10.0))}
 
     def run(self, data):
         tol = {"mz": self.mz_tolerance, "rt": self.rt_tolerance}
         found = matching.match_features(data.features, data.samples, tol, self.min_fraction, self.max_deviation, list(self.groups) or None)
         if self.max_sample_overlap is not None:
-            found = matching.merge_groups(data.features.drop("group").join(found, "feature_id"), tol, self.max_sample_overlap)
+            found = matching.merge_groups(data.features.drop("group").join(found, "feature_id").persist(), tol, self.max_sample_overlap)
         return replace(data, features=data.features.drop("group").join(found, "feature_id", "left"))
 
 

@@ -68,20 +68,24 @@ def islands(df: DataFrame, keys: list[str], order: str | Column, gap: float | Co
 
 
 def global_islands(df: DataFrame, value: str, gap: float, buckets: float, name: str = "island") -> DataFrame:
-    """Islands over a whole column without ordering it in one task.
+    """Islands over a whole column without ordering it in one task. An island's name is its first value.
 
-    Values are dealt to buckets of ``buckets`` (much wider than ``gap``). Rows are numbered inside a bucket; bucket
-    edges, one row each, tell whether an island goes on into the next bucket. The island's name is its first value.
+    Values are dealt to buckets of ``buckets`` (much wider than ``gap``), and rows are numbered inside each. Only the
+    first and last run of a bucket can go on in a neighbour; these, at most two for each bucket of the value range
+    whatever the number of rows, are chained in one order. Every other run is an island by itself.
     """
     b = df.withColumn("__b", F.floor(F.col(value) / buckets))
     inner = islands(b, ["__b"], value, gap, "__i")
-    parts = inner.groupBy("__b", "__i").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    # One row for each run of a bucket: far fewer than the rows, chained by the same rule.
-    w = W.orderBy("__lo")
+    runs = inner.groupBy("__b", "__i").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    last = runs.groupBy("__b").agg(F.max("__i").alias("__last"))
+    runs = runs.join(last, "__b")
+    edge = (F.col("__i") == 0) | (F.col("__i") == F.col("__last"))
+    w = W.orderBy("__lo", "__hi")
     new = F.when(F.col("__lo") - F.lag("__hi").over(w) <= gap, 0).otherwise(1)
-    chain = parts.withColumn("__n", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    chain = runs.where(edge).withColumn("__n", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
     start = chain.groupBy("__n").agg(F.min("__lo").alias(name))
     named = chain.join(start, "__n").select("__b", "__i", name)
+    named = named.unionByName(runs.where(~edge).select("__b", "__i", F.col("__lo").alias(name)))
     return inner.join(named, ["__b", "__i"]).drop("__b", "__i")
 
 

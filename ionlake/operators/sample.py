@@ -88,6 +88,10 @@ class FeatureExtractor(Operator):
             for pdf in batches:
                 rows = []
                 for r in pdf.to_dict("records"):
+                    if r["noise"] is None:
+                        r["noise"] = signal.estimate_noise(np.asarray(r["spint"], float))
+                    if r["baseline"] is None:
+                        r["baseline"] = np.zeros(len(r["spint"]))
                     for k, (s, a, e) in enumerate(zip(*find(r), strict=True)):
                         rows.append(r | {"feature_id": f"{r['roi_id']}-{k}", "start": int(s), "apex": int(a), "end": int(e)})
                 yield pd.DataFrame(rows, columns=[*names, "feature_id", "start", "apex", "end"])
@@ -121,11 +125,9 @@ class LCTraceExtractor(RoiExtractor):
     multiple_match: str = "reduce"
     targeted_mz: tuple | None = None
     pad: int = 0
+    # By instrument and separation.
     presets: ClassVar[dict[str, dict]] = {
-        "qtof-uplc": {"tolerance": 0.01, "min_length": 10},
-        "qtof-hplc": {"tolerance": 0.01, "min_length": 20},
-        "orbitrap-uplc": {"tolerance": 0.005, "min_length": 10},
-        "orbitrap-hplc": {"tolerance": 0.005, "min_length": 20},
+        f"{i}-{s}": {"tolerance": t, "min_length": n, "max_missing": 1, "pad": 2, "min_intensity": 250.0} for i, t in (("qtof", 0.01), ("orbitrap", 0.005)) for s, n in (("uplc", 10), ("hplc", 20))
     }
 
     def extract(self, spectra):
