@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from ionlake.llm.common import map_text
 
 #: Chunks of text remembered by a worker; the memory is emptied when full, so it is bounded on any corpus.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
 #: Longer chunks are encoded each time.
 MEMO_CHARS = 64
 

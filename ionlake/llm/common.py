@@ -48,6 +48,17 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into short ones without copying, so that few texts are held twice; an empty batch stays one."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     """Whether ``df`` has no more than ``n`` rows; reads no further than that many."""
     return df.limit(n + 1).count() <= n
@@ -69,7 +80,7 @@ def map_text(df: DataFrame, fn, schema: str, *carry: str) -> DataFrame:
     out = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + (", " if carry else "") + schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = fn(b.column("text").to_pylist())
             cols = {c: b.column(c) for c in carry} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in made.items()}
             yield pa.RecordBatch.from_pydict(cols)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionlake.llm.common import sliced
+
 #: Share of an item's characters that may be edited.
 EDIT_RATE = 0.08
 #: Items with fewer characters, after folding, are no evidence and are ignored.
@@ -157,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, bloc
                 _SEARCHERS.clear()
                 _SEARCHERS[key] = Searcher(sent.value, rate)
             s = _SEARCHERS[key]
-            for b in batches:
+            for b in sliced(batches):
                 rows, found = [], []
                 for i, t in enumerate(b.column("text").to_pylist()):
                     for f in s.find(t):
@@ -191,7 +193,7 @@ def _without(docs: DataFrame, block, rate: float) -> DataFrame:
             _SEARCHERS.clear()
             _SEARCHERS[key] = Searcher(sent.value, rate)
         s = _SEARCHERS[key]
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([not s.find(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, at_most
+from ionlake.llm.common import Written, at_most, sliced
 
 WINDOW = 8
 #: Share of a group's vectors that an estimate rests on.
@@ -227,7 +227,7 @@ def _packed(docs: DataFrame, carry: list[str], text: bool) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = (b.column("row").field("text") if text else b.column("text")).to_pylist()
             made = zip(*map(word_stats, texts), strict=True) if texts else [[]] * 5
             cols = {c: b.column(c) for c in ("row", "lang", "source")} | {k: pa.array(v, pa.int64()) for k, v in zip(_NAMES, made, strict=True)}

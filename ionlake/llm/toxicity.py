@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, map_text, train_rows
+from ionlake.llm.common import Written, map_text, sliced, train_rows
 from ionlake.llm.sampling import labelled
 
 #: Labelled texts of each class that the fit may use.
@@ -267,7 +267,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             p = sent.value.score(b.column("text").to_pylist()) if b.num_rows else np.zeros(0)
             yield b.filter(pa.array(p < THRESHOLD, pa.bool_()))
 
