@@ -193,9 +193,9 @@ def sample_filter(spark, d):
     return _values(SampleFilter(criteria={"type": ("blank", "qc"), "batch": 1}, exclude=(10,)).apply(matrix(spark, d)).values, 2)
 
 
-@register("feature_filter", BASE + 'SELECT sample_id, m.g AS "group", round(v, 2) AS value FROM m JOIN feats f ON f.g = m.g WHERE f.mz >= 949 AND f.size BETWEEN 20 AND 30')
+@register("feature_filter", BASE + 'SELECT sample_id, m.g AS "group", round(v, 2) AS value FROM m JOIN feats f ON f.g = m.g WHERE f.mz >= 900 AND f.size BETWEEN 25.5 AND 40')
 def feature_filter(spark, d):
-    return _values(FeatureFilter(bounds={"mz": (949.0, None), "size": (20.0, 30.0)}).apply(matrix(spark, d)).values, 2)
+    return _values(FeatureFilter(bounds={"mz": (900.0, None), "size": (25.5, 40.0)}).apply(matrix(spark, d)).values, 2)
 
 
 @register("query_filter_groupby", BASE + "SELECT grp AS \"group\", batch, list(sample_id ORDER BY ord)::VARCHAR AS sample_ids FROM samples WHERE type IN ('sample', 'qc') GROUP BY grp, batch")

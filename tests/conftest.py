@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from ionlake.session import get_session
+    from ionlake.session import get_session, ship
 
     s = get_session("tests", "local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
