@@ -102,9 +102,9 @@ def cv_filter(spark, d):
     return CVFilter(ub=0.25).apply(matrix(spark, d)).groups.select("group")
 
 
-@register("cv_filter_grouped", BASE + ", each AS (SELECT g, grp, stddev_samp(v) / avg(v) AS cv FROM m GROUP BY g, grp) SELECT g AS \"group\" FROM each GROUP BY g HAVING min(cv) BETWEEN 0 AND 0.185")
+@register("cv_filter_grouped", BASE + ", each AS (SELECT g, grp, stddev_samp(v) / avg(v) AS cv FROM m GROUP BY g, grp) SELECT g AS \"group\" FROM each GROUP BY g HAVING count(*) > count(cv) OR min(cv) BETWEEN 0.1 AND 0.215")
 def cv_filter_grouped(spark, d):
-    return CVFilter(ub=0.185, robust=False, filter={}, group_by=("group",), aggregation="min").apply(matrix(spark, d)).groups.select("group")
+    return CVFilter(lb=0.1, ub=0.215, robust=False, filter={}, group_by=("group",), aggregation="min").apply(matrix(spark, d)).groups.select("group")
 
 
 @register("dratio", BASE + "SELECT g AS \"group\", round(stddev_samp(v) FILTER (type = 'qc') / stddev_samp(v) FILTER (type = 'sample'), 6) AS metric FROM m GROUP BY g")
@@ -233,11 +233,11 @@ def matrix_sql(spark, d):
 
 @register("matrix_pipeline", BASE + """, b AS (SELECT g, avg(v) AS b FROM m WHERE type = 'blank' GROUP BY g),
 c AS (SELECT m.*, greatest(v - CASE WHEN type = 'blank' THEN 0 ELSE b END, 0) AS w FROM m JOIN b USING (g)),
-k AS (SELECT g FROM c WHERE type = 'qc' GROUP BY g HAVING stddev_samp(w) / avg(w) BETWEEN 0 AND 1.0 OR avg(w) = 0),
+k AS (SELECT g FROM c WHERE type = 'qc' GROUP BY g HAVING stddev_samp(w) / avg(w) BETWEEN 0 AND 1.5 OR avg(w) = 0),
 n AS (SELECT sample_id, g, w, sum(w) OVER (PARTITION BY sample_id) AS t FROM c WHERE g IN (SELECT g FROM k))
 SELECT sample_id, g AS "group", round(w / t, 6) AS value FROM n WHERE t <> 0""")
 def matrix_pipeline(spark, d):
-    p = Pipeline("curate").add_operator(BlankCorrector()).add_operator(CVFilter(ub=1.0, robust=False)).add_operator(Normalizer())
+    p = Pipeline("curate").add_operator(BlankCorrector()).add_operator(CVFilter(ub=1.5, robust=False)).add_operator(Normalizer())
     p.validate_dataflow()
     return _values(p.apply(matrix(spark, d)).values).where(~F.isnan("value"))
 
