@@ -24,8 +24,9 @@ from ionlake.llm.common import Written, at_most, sliced
 WINDOW = 8
 #: Share of a group's vectors that an estimate rests on.
 ALPHA = 0.75
-#: A document is rejected when its distance is beyond that of so small a share of normal vectors.
-REJECT_SHARE = 1e-9
+#: A document is rejected when its distance is beyond that of so small a share of normal vectors: of the powers of ten, the
+#: one with the fewest wrong verdicts on the labels of sf0.1 that models may learn from (``train_rows``).
+REJECT_SHARE = 1e-5
 #: Groups with fewer vectors fall back to their language, and that to all.
 MIN_GROUP = 100
 #: Concentration steps at most; they end earlier when no determinant changes by more than TOLERANCE of its logarithm.

@@ -112,6 +112,21 @@ def test_many_groups_join_without_broadcast(judged):
     assert sorted((r.doc_id, r.kept) for r in again) == sorted((r.doc_id, r.kept) for r in got)
 
 
+def test_menus_are_rejected(spark):
+    rng = random.Random(12)
+
+    def menu(words):
+        return " ".join(w + " |" * (i % 2) for i, w in enumerate(words))
+
+    rows = [(i, prose(rng, rng.randint(30, 300)), "en", "a") for i in range(400)]
+    rows += [(1000 + i, menu(prose(rng, 80).split()), "en", "a") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(df, "doc_id").collect()
+    assert not any(r.base_failed for r in got) and not any(r.kept for r in got if r.doc_id >= 1000)
+    assert min(r.distance for r in got if r.doc_id >= 1000) < 45
+    assert sum(r.kept for r in got if r.doc_id < 400) >= 399
+
+
 BAD = ["zidiot", "zscum", "zmoron", "zclown"]
 
 
