@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionlake.llm import bpe, decontaminate, quality_rules, simhash, toxicity
+from ionlake.llm import bpe, decontaminate, jaccard, quality_rules, toxicity
 from ionlake.llm.common import Written, table
 
 
@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, that of the least id, of each group linked by five-word shingle sets with a Jaccard of 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,6 +192,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, block: int
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key():
+    """Names a row by its id and text; rows that share it are copies."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def one_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of the least doc_id, nulls last, for each ``label`` of ``named`` (``doc_id``, ``__key`` of ``row_key``)."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
+    kept = named.groupBy("label").agg(first.alias("r")).select("r.__key")
+    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the least of their component, one for each doc_id; rows without an id stay."""
     found = near_duplicates(docs, **options)

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ionlake.llm import decontaminate as D
+from ionlake.llm import jaccard as J
 from ionlake.llm import simhash as S
 
 
@@ -157,3 +159,57 @@ def test_matches_equal_brute_force(spark, block):
     left = {r.doc_id for r in D.clean(df, bench, block_chars=block).collect()}
     assert left == {i for i, _ in docs} - {i for i, _, _ in want}
     assert D.matches(df, bench.limit(0)).count() == 0 and D.matches(df.limit(0), bench).count() == 0
+
+
+def brute_similar(texts):
+    """Component numbers by five-word shingle sets, all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def similar_rows(n=320):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(rng.choices(words, k=25))
+    base = [" ".join(rng.choices(words, k=rng.randint(3, 150))) for _ in range(n // 8)]
+    out = [None, "", "  ", "A b", "a B", "Ä ä x", "ä ä x"]
+    while len(out) < n:
+        w = rng.choice(base if len(out) % 3 else base[:1]).split()
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        out.append(" ".join(w) + (" " + line) * (len(out) % 4 == 0))
+    return [(i * 3 + 1, t, "clash") for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("block, common", [(J.BLOCK, J.COMMON), (5, 3)])
+def test_similar_sets_equal_brute_force(spark, block, common):
+    rows = similar_rows()
+    comp = brute_similar([t for _, t, _ in rows])
+    least = {}
+    for (i, _, _), c in zip(rows, comp, strict=True):
+        least[c] = min(i, least.get(c, i))
+    df = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, set string").repartition(5)
+    got = J.keep_one(df, block=block, common=common)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(least.values()) and got.columns == df.columns
+    assert len(least) < 0.7 * len(rows) and J.keep_one(df.limit(0)).count() == 0
+
+
+def test_stage_drops_copies_beyond_the_fingerprint_radius(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(30):
+        w = rng.choices(words, k=100)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:50], "other", *w[51:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum((brute_fp(a[1]) ^ brute_fp(b[1])).bit_count() > 3 for a, b in zip(rows[::2], rows[1::2], strict=True)) > 10
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == list(range(0, 60, 2))
