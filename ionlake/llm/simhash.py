@@ -181,15 +181,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, block: int
     null doc_id gets a component, and is never its least member unless all are null. Other columns are not read. Very
     long texts are hashed in steps. An empty table gives an empty one.
     """
+    found = _labelled(docs, radius, words, block, "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, radius: int, words: int, block: int, *carry: str) -> DataFrame:
+    """``carry`` columns, doc_id among them, of every row with ``fp``, ``label`` (names the component) and ``component_id``."""
     tables = Written(docs.sparkSession, "simhash")
-    fps = tables.put(fingerprints(docs, "doc_id", words=words))
+    fps = tables.put(fingerprints(docs, *carry, words=words))
     classes = tables.put(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(classes, radius, block))
     named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
-    out = fps.join(by_fp, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
 
 
 def row_key():
@@ -204,9 +208,11 @@ def one_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the least of their component, one for each doc_id; rows without an id stay."""
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, block: int = BLOCK) -> DataFrame:
+    """One row of each component: that of the least doc_id, a null one only if all are null.
+
+    Of rows with one id in a component the one of the least text digest stays. An id whose texts lie in different
+    components may stay with each of them.
+    """
+    found = _labelled(docs.withColumn("__key", row_key()), radius, words, block, "doc_id", "__key")
+    return one_each(docs, found)

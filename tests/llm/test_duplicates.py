@@ -213,3 +213,13 @@ def test_stage_drops_copies_beyond_the_fingerprint_radius(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sum((brute_fp(a[1]) ^ brute_fp(b[1])).bit_count() > 3 for a, b in zip(rows[::2], rows[1::2], strict=True)) > 10
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == list(range(0, 60, 2))
+
+
+@pytest.mark.parametrize("keep", [S.keep_one, J.keep_one])
+def test_one_row_of_each_group(spark, keep):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d = (" ".join(rng.choices(words, k=60)) for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, b, "x"), (None, c, "x"), (None, c, "y"), (None, c.upper(), "z"), (None, d, "x"), (3, d, "x"), (None, a, "x")]
+    got = [(r.doc_id, r.text.lower()) for r in keep(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
