@@ -26,22 +26,24 @@ def nearest_match(points: DataFrame, targets: DataFrame, point: str, target: str
     """Each point with the target nearest to it within ``tolerance``; of two equally near the larger. Others are left out.
 
     An equi-join on bins of twice the tolerance (a target is put in the bins it can be reached from), then the best
-    of a point's few candidates by one aggregation. ``targets`` needs distinct values of ``target``.
+    of a point's few candidates by one aggregation. ``targets`` needs distinct values of ``target``. Repeated points
+    are counted before the join and each get a row.
     """
     keys = keys or []
     ident = [c for c in points.columns]
     w = targets.withColumn("__lo", F.col(target) - tolerance).withColumn("__hi", F.col(target) + tolerance)
     width = 2 * tolerance
-    p = points.withColumn("__bin", F.floor(F.col(point) / width))
+    p = points.groupBy(*ident).agg(F.count("*").alias("__n")).withColumn("__bin", F.floor(F.col(point) / width))
     w = w.withColumn("__bin_w", F.explode(F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))))
     for c in keys:
         w = w.withColumnRenamed(c, f"__w_{c}")
     near = F.abs(F.col(point) - F.col(target))
     cond = [F.col("__bin") == F.col("__bin_w"), *[F.col(c) == F.col(f"__w_{c}") for c in keys], near <= tolerance]
     rest = [c for c in targets.columns if c not in keys]
-    both = p.join(w, cond).select(*ident, *rest, near.alias("__d"))
+    both = p.join(w, cond).select(*ident, "__n", *rest, near.alias("__d"))
     best = F.max_by(F.struct(*rest), F.struct(-F.col("__d"), F.col(target)))
-    return both.groupBy(*ident).agg(best.alias("__t")).select(*ident, "__t.*")
+    found = both.groupBy(*ident, "__n").agg(best.alias("__t"))
+    return found.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select(*ident, "__t.*")
 
 
 def asof_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, backward: bool = True) -> DataFrame:

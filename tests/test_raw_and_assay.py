@@ -194,6 +194,12 @@ def test_joins_equal_brute_force(spark):
     assert [q.extremum for q in joins.local_extrema(e, ["k"], "t", "v").orderBy("t").collect()] == [0, 1, 0, 0, -1, 0, 0]
 
 
+def test_nearest_match_keeps_repeated_points(spark):
+    p = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 1.0), (2, 5.0), (2, 5.0), (3, 9.0)], "id int, x double")
+    t = spark.createDataFrame([(7, 1.2), (8, 5.1)], "t int, y double")
+    assert sorted((q.id, q.t) for q in joins.nearest_match(p, t, "x", "y", 0.5).collect()) == [(1, 7), (1, 7), (1, 7), (2, 8), (2, 8)]
+
+
 # -- matching ---------------------------------------------------------------------------------------------------------
 
 
