@@ -21,8 +21,10 @@ from ionlake.llm.common import sliced
 
 #: Share of an item's characters that may be edited.
 EDIT_RATE = 0.08
-#: Items with fewer characters, after folding, are no evidence and are ignored.
-MIN_CHARS = 40
+#: Items with fewer characters, after folding, must be found without an edit, and as whole words.
+EXACT_UNDER = 40
+#: Items with fewer characters, after folding, hold nothing to search for.
+MIN_CHARS = 1
 #: Characters of items searched for at once; each block is broadcast, and its automaton takes about 100 bytes for each.
 BLOCK_CHARS = 1_000_000
 
@@ -34,7 +36,12 @@ def fold(text: str | None) -> str:
 
 def budget(m: int, rate: float = EDIT_RATE) -> int:
     """Edits allowed for an item of ``m`` characters."""
-    return math.floor(m * rate)
+    return math.floor(m * rate) if m >= EXACT_UNDER else 0
+
+
+def whole_words(text: str, a: int, b: int) -> bool:
+    """Whether no word goes on beyond either end of ``text[a:b]``; scripts without blanks have no such words."""
+    return not any(0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum() and max(text[i - 1], text[i]) < "\u2e80" for i in (a, b))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -101,6 +108,8 @@ class Searcher:
         for end, (size, places) in self.automaton.iter(text):
             for n, at in places:
                 begin, k = end + 1 - size - at, self.k[n]
+                if len(self.items[n][1]) < EXACT_UNDER and not whole_words(text, begin, end + 1):
+                    continue
                 windows.setdefault(n, []).append((max(0, begin - k), min(len(text), begin + len(self.items[n][1]) + k)))
         out = []
         for n, spans in windows.items():
@@ -144,8 +153,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, bloc
     """``doc_id``, ``item_id``, ``distance`` and ``match_end`` for each document that holds an item within its edits.
 
     One row for each row of ``docs`` and item, with the least distance and the first place (in the folded text) where
-    it is reached. Null and empty texts hold nothing; items without an id or shorter than MIN_CHARS are ignored; equal
-    items all match; repeated rows each give their rows. Other columns are not read. Empty tables give no rows.
+    it is reached. Null and empty texts hold nothing; items without an id or text are ignored; those shorter than
+    EXACT_UNDER match without edits and as whole words only; equal items all match; repeated rows each give their rows. Other columns are not read. Empty tables give no rows.
     """
     spark, kept = docs.sparkSession, docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = kept.schema["doc_id"].dataType

@@ -223,3 +223,12 @@ def test_one_row_of_each_group(spark, keep):
     rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, b, "x"), (None, c, "x"), (None, c, "y"), (None, c.upper(), "z"), (None, d, "x"), (3, d, "x"), (None, a, "x")]
     got = [(r.doc_id, r.text.lower()) for r in keep(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (3, d)], key=str)
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Short  answer"), (2, "tiny"), (3, "n" * 38), (4, " "), (5, None)]
+    docs = [(1, "a SHORT\nanswer."), (2, "shorts answer, short answers"), (3, "tinynot tiny"), (4, "un-tiny?"), (5, "short bnswer " + "n" * 37), (6, "x " + "n" * 38), (7, "n" * 39)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.match_end) for r in D.matches(df, bench).collect())
+    assert got == [(1, 1, 0, 14), (3, 2, 0, 12), (4, 2, 0, 7), (6, 3, 0, 40)]
+    assert sorted(r.doc_id for r in D.clean(df, bench).collect()) == [2, 5, 7]
