@@ -26,7 +26,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by five-word shingle sets with a Jaccard of 0.8 or more."""
+    """One document, that of the least id, of each group linked by five-word shingle sets with a Jaccard of 0.8 or more.
+
+    Covering SimHash tables give the first links; an exact search finds those beyond their radius.
+    """
     return jaccard.keep_one(docs)
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +19,55 @@ from pyspark.sql import functions as F
 from ionlake.session import ship
 
 
+#: Rows sent to Python at once, as whole texts are long; a session that sets a number of its own keeps it.
+BATCH_ROWS = 2000
+
+# Memory of batches that are done goes back to the system, as workers wait for the next stage with what they hold.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system it knows works."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one machine, as in tests) gets a folder of its own for as long as Python runs;
+    any other session is refused, as executors do not see each other's local folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ionlake-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="ionlake-shared-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
+    return _OWN[sc.applicationId]
 
 
 class Written:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read."""
+    """Tables written to the shared folder to cut lineage.
+
+    ``drop`` removes one that is no longer read. Those that a returned DataFrame still reads stay until Python ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
     def put(self, df: DataFrame) -> DataFrame:
+        if not self.count:
+            atexit.register(self._sweep)
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.parquet(path)
@@ -43,20 +75,52 @@ class Written:
         out._written_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(df._written_path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        kept = {df._written_path for df in tables}
+        for k in range(1, self.count + 1):
+            if f"{self.base}/{k}" not in kept:
+                self._delete(f"{self.base}/{k}")  # one that is gone already does no harm
+
+    def _sweep(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before Python
+            self._delete(self.base)
 
 
-#: Rows of a batch that are Python objects at a time.
-SLICE_ROWS = 1000
+def fresh(columns: Iterable[str], *names: str) -> tuple[str, ...]:
+    """Column names like ``names`` that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return tuple(out)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+#: Rows and bytes of a batch that are Python objects at a time; a single longer row is a slice by itself.
+SLICE_ROWS, SLICE_BYTES = 1000, 16 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into short ones without copying, so that few texts are held twice; an empty batch stays one."""
     for b in batches:
-        for k in range(0, max(1, b.num_rows), rows):
-            yield b.slice(k, rows)
+        todo = [b.slice(k, rows) for k in range(0, max(1, b.num_rows), rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def at_most(df: DataFrame, n: int) -> bool:
@@ -86,3 +150,67 @@ def map_text(df: DataFrame, fn, schema: str, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     return kept.mapInArrow(run, out)
+
+
+def row_key():
+    """Names a row by its id and text; rows that share it are copies."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+class Bloom:
+    """A set of string keys as a bitmap of fixed size (4 MB), for leaving most rows out of a shuffle.
+
+    It never misses a key. The more keys it holds, the more others it lets by, so what it lets by is always joined
+    exactly after it.
+    """
+
+    BITS, PROBES = 1 << 25, 3
+
+    def __init__(self, keys: DataFrame, key: str):
+        at = F.explode(F.array(*self.places(F.col(key))))
+        bit = F.expr("shiftleft(1L, at % 64)")
+        words = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
+        found = words.toArrow()  # no more than BITS / 64 rows whatever the number of keys
+        bits = np.zeros(self.BITS // 64, np.int64)
+        bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @classmethod
+    def places(cls, key) -> list:
+        """Bits of a key."""
+        return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(cls.BITS)).cast("int") for k in range(cls.PROBES)]
+
+    @staticmethod
+    def hit(bits: np.ndarray, places: list) -> np.ndarray:
+        """Which rows may be in the set, from the bitmap and their columns of places."""
+        out = np.ones(len(places[0]), bool)
+        for p in places:
+            p = np.asarray(p)
+            out &= (bits[p >> 6] >> (p & 63)) & 1 == 1
+        return out
+
+    def test(self, key):
+        """Column: whether a key may be in the set. Only the places go to Python."""
+        sent = self.sent
+
+        @F.pandas_udf("boolean")
+        def maybe(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series(Bloom.hit(sent.value, [a, b, c]))
+
+        return maybe(*self.places(key))
+
+
+def one_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of the least doc_id, nulls last, for each ``label`` of ``named`` (``doc_id``, ``key`` of ``row_key``).
+
+    Rows whose key is kept and met once pass by a bitmap of the others, so their texts are not shuffled.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = named.groupBy("label").agg(first.alias("r")).select("r.key").distinct().withColumn("stays", F.lit(True))
+    counts = named.groupBy("key").count().join(kept, "key", "left")
+    told = Bloom(counts.where("stays is null or count > 1"), "key")
+    key, unsure = fresh(docs.columns, "key", "unsure")
+    marked = docs.withColumn(key, row_key()).withColumn(unsure, told.test(F.col(key)))
+    rest = marked.where(unsure).join(kept.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col(unsure)).select(*columns).unionAll(rest.select(*columns))

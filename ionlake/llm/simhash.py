@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, map_text
+from ionlake.llm.common import Written, map_text, one_each, row_key
 
 SEED, BITS = 42, 64
 #: Fingerprints of a bucket that meet in one task: up to two blocks of about so many, 16 bytes each.
@@ -45,12 +45,24 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     stops = ends[words - 1 :] if len(parts) >= words else ends[-1:]
     h, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for k in range(0, n, _STEP):
-        part = [h(joined[a : b - 1], SEED) for a, b in zip(starts[k : min(n, k + _STEP)], stops[k : k + _STEP])]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
+        counts += bit_counts(np.array([h(joined[a : b - 1], SEED) for a, b in zip(starts[k : min(n, k + _STEP)], stops[k : k + _STEP])], "<u8"))
+    return _over_half(counts, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of given shingle hashes; zero if there are none."""
+    return _over_half(sum((bit_counts(hashes[k : k + _STEP]) for k in range(0, len(hashes), _STEP)), np.zeros(BITS, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, *carry: str, words: int = 3) -> DataFrame:
     """``carry`` columns with ``fp``, the fingerprint as a signed long."""
 
@@ -196,23 +208,11 @@ def _labelled(docs: DataFrame, radius: int, words: int, block: int, *carry: str)
     return fps.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
 
 
-def row_key():
-    """Names a row by its id and text; rows that share it are copies."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-
-
-def one_each(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The row of the least doc_id, nulls last, for each ``label`` of ``named`` (``doc_id``, ``__key`` of ``row_key``)."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))
-    kept = named.groupBy("label").agg(first.alias("r")).select("r.__key")
-    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
-
-
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, block: int = BLOCK) -> DataFrame:
     """One row of each component: that of the least doc_id, a null one only if all are null.
 
     Of rows with one id in a component the one of the least text digest stays. An id whose texts lie in different
     components may stay with each of them.
     """
-    found = _labelled(docs.withColumn("__key", row_key()), radius, words, block, "doc_id", "__key")
-    return one_each(docs, found)
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    return one_each(docs, _labelled(keyed, radius, words, block, "doc_id", "key"))

@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from ionlake.llm import decontaminate as D
 from ionlake.llm import quality_rules, toxicity
-from tests.llm.test_duplicates import brute_components, brute_fp, sellers
+from tests.llm.test_duplicates import brute_similar, sellers
 from tests.llm.test_models import BAD, prose
 
 
@@ -50,11 +50,10 @@ def test_pipeline_equals_brute_force(spark, folder):
     left = [r for r, p in zip(rows, model.score([r[1] for r in rows]), strict=True) if p < toxicity.THRESHOLD]
     kept = {(r.doc_id, r.kept) for r in quality_rules.judge(spark.createDataFrame(left, docs.schema), "doc_id").collect()}
     left = [r for r in left if (r[0], True) in kept]
-    comp = brute_components([brute_fp(r[1]) for r in left], 3)
-    least = {}
-    for r, c in zip(left, comp, strict=True):
-        least[c] = min(r[0], least.get(c, r[0]))
-    left = list({r[0]: r for r in left if r[0] in least.values()}.values())
+    first = {}
+    for r, c in zip(left, brute_similar([r[1] for r in left]), strict=True):
+        first[c] = min(r, first.get(c, r), key=lambda x: x[0])
+    left = list(first.values())
     left = [r for r in left if not any(sellers(D.fold(b), D.fold(r[1])) <= D.budget(len(D.fold(b))) for _, b in bench)]
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = []
