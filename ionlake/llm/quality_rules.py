@@ -1,16 +1,20 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Every document gets exact word statistics and a base verdict. The documents that pass the base rules give vectors of
-transformed statistics. For each language and source, and as a fall-back for each language and for all, concentration
+transformed statistics. For each language and source, and as its parents for each language and for all, concentration
 steps look for the share ALPHA of the vectors whose covariance has the least determinant: each step measures every
 vector's Mahalanobis distance by the last estimate, takes the nearest share, and estimates anew from it. A step is one
 aggregation: sums by group and distance bin, combined on the map side, so a hot source does no harm and no group meets
-in one task. Two starts are followed, a robust diagonal one and the classical one, and the smaller determinant wins.
+in one task. Several starts are followed, each until its determinant falls no more, and the smallest determinant wins:
+a robust diagonal one, the classical one, and the estimates of small parts chosen by hash. In the end a group's estimate
+is joined with its parent's, which counts as PRIOR vectors: a large group stands by itself, a small one leans on its
+language, and there is no size at which the rule changes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -27,10 +31,12 @@ ALPHA = 0.75
 #: A document is rejected when its distance is beyond that of so small a share of normal vectors: of the powers of ten, the
 #: one with the fewest wrong verdicts on the labels of sf0.1 that models may learn from (``train_rows``).
 REJECT_SHARE = 1e-5
-#: Groups with fewer vectors fall back to their language, and that to all.
-MIN_GROUP = 100
-#: Concentration steps at most; they end earlier when no determinant changes by more than TOLERANCE of its logarithm.
-STEPS, TOLERANCE = 8, 1e-3
+#: How many vectors the estimate of a parent counts as (four for each dimension).
+PRIOR = 20
+#: A start is followed until a step lowers the logarithm of its determinant by no more than this.
+TOLERANCE = 1e-3
+#: Starts from parts of a group, and the share of it that each part is.
+PARTS, PART = 3, 8
 #: Bins of log2(1 + squared distance) for each doubling; the nearest share is whole bins.
 BINS = 24
 #: Standard deviations that no estimate falls below, in units of the vectors below, as most documents share one value.
@@ -140,7 +146,8 @@ def _estimate(n: float, sums: np.ndarray, cross: np.ndarray, around: np.ndarray)
     return (around + m).tolist(), [float(prec[i, j]) for i, j in _PAIRS], float(np.linalg.slogdet(cov)[1])
 
 
-_STATE = "g string, start int, n long, mean array<double>, prec array<double>, logdet double, scale double"
+_STATE = "g string, parent string, start int, n long, mean array<double>, prec array<double>, logdet double, scale double"
+_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
 
 
 def _concentrate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +163,8 @@ def _concentrate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     # The distance that bounds the share, against what it is for normal vectors, scales later distances.
     edge = 2.0 ** ((pdf["bin"].iloc[last] + 1) / BINS) - 1
     scale = max(1.0, edge / chi2_quantile(min(size / cum[-1], 0.999), DIM))
-    return pd.DataFrame({"g": [key[0]], "start": [key[1]], "n": [int(cum[-1])], "mean": [mean], "prec": [prec], "logdet": [logdet], "scale": [scale]})
+    row = (key[0], pdf["parent"].iloc[0], key[1], int(cum[-1]), mean, prec, logdet, scale)
+    return pd.DataFrame([row], columns=_COLUMNS)
 
 
 def _with_state(vecs: DataFrame, state: DataFrame, most: int) -> DataFrame:
@@ -173,49 +181,96 @@ def _bins(pairs: DataFrame) -> DataFrame:
         F.array(*[F.sum(d[i]) for i in range(DIM)]).alias("s"),
         F.array(*[F.sum(d[i] * d[j]) for i, j in _PAIRS]).alias("c"),
         F.first("mean").alias("around"),
+        F.first("parent").alias("parent"),
     )
 
 
 def _starts(vecs: DataFrame) -> DataFrame:
-    """Two starts for each group: medians with scaled median deviations, and mean with covariance."""
-    med = vecs.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(DIM)], *[F.percentile_approx(f"x{i}", [0.25, 0.75], 1000).alias(f"q{i}") for i in range(DIM)], *[F.avg(f"x{i}").alias(f"a{i}") for i in range(DIM)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{k}") for k, (i, j) in enumerate(_PAIRS)])
+    """Starts of each group: medians with scaled quartiles, mean with covariance, and those of parts chosen by hash."""
+    x = [F.col(f"x{i}") for i in range(DIM)]
+    part = F.pmod(F.xxhash64(*x), F.lit(PART))
+    made = [F.count("*").alias("n"), F.first("parent").alias("parent")]
+    made += [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)]
+    for p in range(PARTS + 1):
+        of = (lambda c: c) if p == 0 else (lambda c, p=p: F.when(part == p, c))
+        made += [F.avg(of(c)).alias(f"a{p}_{i}") for i, c in enumerate(x)]
+        made += [F.covar_pop(of(x[i]), of(x[j])).alias(f"c{p}_{k}") for k, (i, j) in enumerate(_PAIRS)]
 
     def make(batches):
-        for p in batches:
+        for pdf in batches:
             rows = []
-            for r in p.itertuples(index=False):
-                r = r._asdict()
-                sd = [max((float(r[f"q{i}"][1]) - float(r[f"q{i}"][0])) / 1.349, FLOORS[i]) for i in range(DIM)]
+            for r in pdf.to_dict("records"):
+                sd = [max((float(r[f"q{i}"][2]) - float(r[f"q{i}"][0])) / 1.349, FLOORS[i]) for i in range(DIM)]
                 prec = [1 / sd[i] ** 2 if i == j else 0.0 for i, j in _PAIRS]
-                rows.append((r["g"], 0, int(r["n"]), [float(r[f"m{i}"]) for i in range(DIM)], prec, 0.0, 1.0))
-                mean, full, det = _estimate(1.0, np.zeros(DIM), np.array([r[f"c{k}"] for k in range(len(_PAIRS))]), np.array([r[f"a{i}"] for i in range(DIM)]))
-                rows.append((r["g"], 1, int(r["n"]), mean, full, det, 1.0))
-            yield pd.DataFrame(rows, columns=["g", "start", "n", "mean", "prec", "logdet", "scale"])
+                head = r["g"], r["parent"]
+                rows.append((*head, 0, int(r["n"]), [float(r[f"q{i}"][1]) for i in range(DIM)], prec, math.inf, 1.0))
+                for p in range(PARTS + 1):
+                    if r[f"a{p}_0"] is not None and not math.isnan(r[f"a{p}_0"]):
+                        cross = np.array([r[f"c{p}_{k}"] for k in range(len(_PAIRS))])
+                        mean, prec, _ = _estimate(1.0, np.zeros(DIM), cross, np.array([r[f"a{p}_{i}"] for i in range(DIM)]))
+                        rows.append((*head, p + 1, int(r["n"]), mean, prec, math.inf, 1.0))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return med.mapInPandas(make, _STATE)
+    return vecs.groupBy("g").agg(*made).mapInPandas(make, _STATE)
 
 
 def _keys():
+    """Groups of a row with their parents: its language and source, its language, all."""
     lang, source = (F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n")) for c in ("lang", "source"))
-    return F.array(F.concat_ws("\x01", F.lit("s"), lang, source), F.concat_ws("\x01", F.lit("l"), lang), F.lit("a"))
+    both, one, all_ = F.to_json(F.array(lang, source)), F.to_json(F.array(lang)), F.lit("all")
+    return F.array(*[F.struct(g.alias("g"), p.alias("parent")) for g, p in ((both, one), (one, all_), (all_, F.lit(None).cast("string")))])
+
+
+def _unpacked(prec) -> np.ndarray:
+    """Covariance of a packed precision."""
+    out = np.zeros((DIM, DIM))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[i, j] = out[j, i] = prec[k]
+    return np.linalg.inv(out)
+
+
+def _leaning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates joined with their parents' (``p_`` columns)."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.to_dict("records"):
+            own, prior = ALPHA * r["n"], PRIOR
+            w = own / (own + prior)
+            cov = w * _unpacked(r["prec"]) + (1 - w) * _unpacked(r["p_prec"])
+            prec = np.linalg.inv((cov + cov.T) / 2)
+            mean = w * np.asarray(r["mean"]) + (1 - w) * np.asarray(r["p_mean"])
+            rows.append((r["g"], mean.tolist(), [float(prec[i, j]) for i, j in _PAIRS], float(r["scale"] ** w * r["p_scale"] ** (1 - w))))
+        yield pd.DataFrame(rows, columns=["g", "mean", "prec", "scale"])
+
+
+_FOUND = "g string, mean array<double>, prec array<double>, scale double"
 
 
 def estimates(vecs: DataFrame, tables: Written, broadcast_groups: int = 20_000) -> DataFrame:
-    """The estimate of each group ``g`` of vectors ``x0``.. with at least MIN_GROUP members; all of them for ``a``."""
-    each = vecs.select(F.explode("keys").alias("g"), *[f"x{i}" for i in range(DIM)])
-    state = tables.put(_starts(each))
-    dets = None
-    for _ in range(STEPS):
-        bins = _bins(_with_state(each, state, broadcast_groups))
-        new = tables.put(bins.groupBy("g", "start").applyInPandas(_concentrate, _STATE))
-        moved = new.alias("b").join(state.alias("a"), ["g", "start"]).agg(F.max(F.abs(F.col("b.logdet") - F.col("a.logdet")))).head()[0]
+    """The estimate of each language and source ``g`` that has vectors ``x0``.., joined with those of its parents."""
+    each = vecs.select(F.explode("keys").alias("k"), *[f"x{i}" for i in range(DIM)]).select("k.*", *[f"x{i}" for i in range(DIM)])
+    state = tables.put(_starts(each).withColumn("moves", F.lit(True)))
+    plain = each.drop("parent")
+    # Each step that counts lowers a determinant by TOLERANCE, and floors bound it, so this ends.
+    while state.where("moves").limit(1).count():
+        moving = state.where("moves").drop("moves")
+        new = _bins(_with_state(plain, moving, broadcast_groups)).groupBy("g", "start").applyInPandas(_concentrate, _STATE)
+        new = new.select("g", "start", F.struct("mean", "prec", "logdet", "scale").alias("new"))
+        both = state.join(new, ["g", "start"], "left")
+        better = F.coalesce(F.col("new.logdet") < F.col("logdet") - TOLERANCE, F.lit(False))
+        next_ = [F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "prec", "logdet", "scale")]
+        after = tables.put(both.select("g", "parent", "start", "n", *next_, better.alias("moves")))
         tables.drop(state)
-        state, first = new, dets is None
-        dets = moved
-        if moved is None or (not first and moved <= TOLERANCE):
-            break
-    best = state.groupBy("g").agg(F.min_by(F.struct("n", "mean", "prec", "scale"), F.struct("logdet", "start")).alias("e"))
-    return tables.put(best.select("g", "e.*").where((F.col("n") >= MIN_GROUP) | (F.col("g") == "a")))
+        state = after
+    best = state.groupBy("g").agg(F.first("parent").alias("parent"), F.min_by(F.struct("n", "mean", "prec", "scale"), F.struct("logdet", "start")).alias("e"))
+    best = tables.put(best.select("g", "parent", "e.*"))
+    found = best.where("parent is null").select("g", "mean", "prec", "scale")
+    for level in (F.col("parent") == "all", F.col("parent") != "all"):
+        parents = found.select(F.col("g").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("mean", "prec", "scale")])
+        found = best.where(level).join(parents, "parent").mapInPandas(_leaning, _FOUND)
+    out = tables.put(found)
+    tables.drop(state, best)
+    return out
 
 
 def _packed(docs: DataFrame, carry: list[str], text: bool) -> DataFrame:
@@ -244,13 +299,10 @@ def _vectors(stats: DataFrame) -> DataFrame:
 
 def _verdict(stats: DataFrame, found: DataFrame, broadcast_groups: int) -> DataFrame:
     """``distance`` and ``kept`` for rows with statistics."""
-    small, rows = at_most(found, broadcast_groups), stats
-    for level in range(3):
-        e = found.select(F.col("g").alias(f"g{level}"), F.struct("mean", "prec", "scale").alias(f"e{level}"))
-        on = F.element_at("keys", level + 1) == F.col(f"g{level}")
-        rows = rows.join(F.broadcast(e) if small else e, on, "left")
-    rows = rows.withColumn("e", F.coalesce("e0", "e1", "e2")).withColumn("mean", F.col("e.mean")).withColumn("prec", F.col("e.prec"))
-    d2 = F.when(~F.col("base_failed"), _distance(vector()) / F.col("e.scale"))
+    e = found.select("g", "mean", "prec", "scale")
+    rows = stats.withColumn("g", F.get("keys", F.lit(0)).getField("g"))
+    rows = rows.join(F.broadcast(e) if at_most(found, broadcast_groups) else e, "g", "left")
+    d2 = F.when(~F.col("base_failed"), _distance(vector()) / F.col("scale"))
     cut = chi2_quantile(REJECT_SHARE, DIM, upper=True)
     return rows.withColumn("distance", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= cut, F.lit(True)))
 
@@ -259,7 +311,7 @@ def judge(docs: DataFrame, *carry: str, broadcast_groups: int = 20_000) -> DataF
     """``carry`` columns of every row with its statistics, ``base_failed``, ``distance`` and ``kept``.
 
     ``kept`` is false where the base rule fails, else whether the squared Mahalanobis distance to the estimate of the
-    row's language and source (null is a value of its own; small groups fall back) is within the cut. ``distance`` is
+    row's language and source (null is a value of its own; a small group leans on its parents) is within the cut. ``distance`` is
     null where the base rule fails. Null and empty texts have no words and fail it. Repeated rows each get a row and
     weigh as often; other columns are not read; an empty table gives an empty one.
     """
