@@ -9,17 +9,19 @@ A whole text is cut into windows that overlap by the widest filter; its predicti
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import map_text, train_rows
-from ionlake.llm.sampling import per_class
+from ionlake.llm.common import map_text, sliced, train_rows
+from ionlake.llm.sampling import _SCALE, with_share
 
-#: Texts of each language that the fit may use, and windows from each.
-SAMPLE, WINDOWS = 800, 3
+#: Windows of each language that the fit may use, drawn from all windows of all texts, and of all languages together.
+SAMPLE, TOTAL = 3200, 200_000
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 12, 8
 EPOCHS, BATCH, RATE = 8, 64, 4e-3
 NONE = "und"
@@ -158,30 +160,46 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _examples(text: str | None, want: int) -> list[bytes]:
-    """Up to ``want`` windows spread over a text, and its short beginning, so that short texts are known too."""
-    raw = (text or "").encode()
-    if not _LETTER.search(text or ""):
+def _drawn(text: str, share: int) -> list[bytes]:
+    """Of a text's windows those whose hash falls in the share; a quarter are cut short, so that short texts are known too."""
+    raw = text.encode()
+    if not _LETTER.search(text):
         return []
-    starts = np.unique(np.linspace(0, max(0, len(raw) - LENGTH), want).astype(int))
-    return [raw[a : a + LENGTH] for a in starts] + ([raw[: 16 + len(raw) % 48]] if len(raw) > 64 else [])
+    n = -(-max(1, len(raw) - LENGTH + _STRIDE) // _STRIDE)
+    out = []
+    for i in range(n):
+        h = xxhash.xxh64_intdigest(raw[i * _STRIDE : i * _STRIDE + LENGTH], i)
+        if h % _SCALE < share:
+            out.append(raw[i * _STRIDE : i * _STRIDE + (LENGTH if h >> 62 else 16 + (h >> 32) % 48)])
+    return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN:
-    """A network for the languages named in ``lang`` of rows that may be learned from."""
-    chosen = per_class(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "lang", sample)
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> ByteCNN:
+    """A network for the languages named in ``lang`` of rows that may be learned from.
 
-    def cut(texts):
-        return {"w": pa.array([_examples(t, WINDOWS) for t in texts], pa.list_(pa.binary()))}
-
-    rows = sorted((r.lang, bytes(w)) for r in map_text(chosen, cut, "w array<binary>", "lang").collect() for w in r.w)
+    Every window of every such text may be drawn, with a chance that makes about ``sample`` windows of each language and
+    ``total`` of all; equal windows count once.
+    """
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & train_rows())
+    windows_of = F.ceil(F.greatest(F.lit(1), F.octet_length("text") - (LENGTH - _STRIDE)) / F.lit(_STRIDE))
+    rows = with_share(rows.select("lang", "text"), "lang", windows_of, sample, total)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            made = [_drawn(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("share").to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(m) for m in made]))
+            yield pa.RecordBatch.from_pydict({"lang": b.column("lang").take(at), "w": pa.array([w for m in made for w in m], pa.binary())})
+
+    drawn = rows.select("lang", "text", "share").mapInArrow(cut, "lang string, w binary").distinct()
+    rows = sorted((r.lang, bytes(r.w)) for r in drawn.toLocalIterator())
     classes = sorted({a for a, _ in rows})
     net = ByteCNN(classes)
     if len(classes) > 1:
         x = np.zeros((len(rows), LENGTH), np.uint8)
         for i, (_, w) in enumerate(rows):
             x[i, : len(w)] = np.frombuffer(w, np.uint8)
-        net.fit(x, np.array([classes.index(a) for a, _ in rows]))
+        net.fit(x, np.searchsorted(classes, [a for a, _ in rows]))
     return net
 
 

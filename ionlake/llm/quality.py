@@ -22,17 +22,17 @@ from ionlake.llm.sampling import labelled
 SAMPLE = 3000
 BUCKETS = 1 << 14
 STEPS, RATE, RIDGE = 150, 0.05, 1e-4
-#: Words remembered with their bucket by a worker; emptied when full.
-MEMO = 1_000_000
+#: Words remembered with their bucket by a worker, emptied when full; longer ones are worked out each time.
+MEMO, MEMO_CHARS = 300_000, 64
 #: Texts are selected when a grade of SELECT_GRADE or more is at least so likely.
 SELECT_GRADE, SELECT_TAIL = 1, 0.5
 _bucket: dict[str, int] = {}
 
 
 def _shape(word: str) -> str:
-    """Capitals, letters, digits and signs of a word, runs as one."""
+    """Capitals, letters, digits and signs of a whole word, runs as one."""
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -52,10 +52,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for w, k in words.items():
         b = memo.get(w)
         if b is None:
-            if len(memo) >= MEMO:
-                memo.clear()
             a, s = _buckets_of(w)
-            b = memo[w] = a << 16 | s
+            b = a << 16 | s
+            if len(w) <= MEMO_CHARS:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[w] = b
         tot[b >> 16] = tot.get(b >> 16, 0) + k
         tot[b & 0xFFFF] = tot.get(b & 0xFFFF, 0) + k
     if not tot:

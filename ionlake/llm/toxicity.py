@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon is learned from the words of one half of a bounded sample of labelled texts, by smoothed log odds; the trees
-are fitted on the other half, so that words which stand in toxic texts by chance earn no trust. Copies are kept on one
-side and count once, both by the opening of a text. Every whole text then
+A lexicon is learned from a bounded sample of labelled texts: words whose log odds of standing in toxic texts are large
+and beyond chance. Each text of the sample is measured against a lexicon learned from the other folds, so that words
+which stand in toxic texts by chance earn no trust; copies are one text of one fold. Every whole text then
 gives densities of the lexicon, in plain and obfuscated spelling, its nearness to words of the second person, rates of
 capitals, punctuation, repetition and obfuscation. Boosted trees on these are fitted in numpy; scores of folds that a
 tree has not seen are made monotone probabilities by pooling adjacent violators.
@@ -25,10 +25,8 @@ from ionlake.llm.sampling import labelled
 
 #: Labelled texts of each class that the fit may use.
 SAMPLE = 4000
-#: Words of the lexicon at most, and what each needs: toxic openings, as a number and as a share, and log odds.
-LEXICON, MIN_DOCS, MIN_SHARE, MIN_ODDS = 100, 3, 0.01, 2.0
-#: Characters that make an opening.
-OPENING = 30
+#: What a word of the lexicon needs: toxic texts that hold it, log odds, and log odds in standard errors.
+MIN_DOCS, MIN_ODDS, MIN_Z = 3, 1.5, 3.5
 THRESHOLD = 0.7
 ROUNDS, DEPTH, RATE, BINS, LEAF, RIDGE = 60, 3, 0.2, 32, 5, 1.0
 FOLDS = 4
@@ -188,14 +186,13 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list
 class Model:
     """Lexicon, trees and calibration; without examples of both classes, a constant."""
 
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, share: float):
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray, share: float):
         self.lexicon, self.features, self.trees = lexicon, None, None
         self.constant = float(share)
         if min(np.sum(y == 1), np.sum(y == 0)) < 2 * FOLDS:
             return
-        fold = np.arange(len(y)) % FOLDS
         out = np.zeros(len(y))
-        for k in range(FOLDS):
+        for k in np.unique(fold):
             out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
         # Both classes are sampled to a bound; weights bring their true shares back.
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -216,37 +213,58 @@ class Model:
         return np.clip(step + 1e-3 * (1 / (1 + np.exp(-raw)) - 0.5), 0.0, 1.0)
 
 
+def lexicon_of(a: np.ndarray, b: np.ndarray, n1: int, n0: int, words: list[str]) -> dict[str, float]:
+    """Words with their log odds, from the toxic and other texts that hold them out of ``n1`` and ``n0``."""
+    odds = np.log((a + 0.5) / (n1 + 1.0)) - np.log((b + 0.5) / (n0 + 1.0))
+    error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    fine = (a >= MIN_DOCS) & (odds >= MIN_ODDS) & (odds >= MIN_Z * error)
+    return {words[i]: float(odds[i]) for i in np.flatnonzero(fine)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most about ``sample`` labelled texts of each class."""
+    """A model from at most about ``sample`` labelled texts of each class.
+
+    Texts that differ in case and white space only are one, toxic if one of them is. What comes to the driver is bounded
+    by the sample: its words that may be in a lexicon, and a row of features for each text.
+    """
     tables = Written(docs.sparkSession, "toxicity")
-    texts = tables.put(labelled(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", sample))
+    texts = labelled(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "toxic", sample)
+    whole = F.xxhash64(F.regexp_replace(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+", " "))
+    texts = tables.put(texts.groupBy(whole.alias("whole")).agg(F.max("y").alias("y"), F.min("text").alias("text")))
+    texts = texts.withColumn("fold", F.pmod("whole", F.lit(FOLDS)).cast("int"))
     total = {r[0]: r[1] for r in labels.where(train_rows() & F.col("toxic").isNotNull()).groupBy(F.col("toxic").cast("int")).count().collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
-    opening = F.xxhash64(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, OPENING)))
-    sides = texts.withColumn("opening", opening)
-    first, second = sides.where("opening % 2 = 0"), sides.where("opening % 2 <> 0")
-    n = {r[0]: r[1] for r in first.groupBy("y").agg(F.countDistinct("opening")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+    size = np.zeros((2, FOLDS), np.int64)
+    for r in texts.where("y in (0, 1)").groupBy("y", "fold").count().collect():
+        size[r.y, r.fold] = r["count"]
 
     def split(batch):
         return {"w": pa.array([list(words_of(t)) if t else [] for t in batch], pa.list_(pa.string()))}
 
-    words = map_text(first, split, "w array<string>", "y", "opening").select("y", "opening", F.explode("w").alias("w")).distinct()
-    counts = words.groupBy("w").agg(F.sum((F.col("y") == 1).cast("int")).alias("a"), F.sum((F.col("y") == 0).cast("int")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    least = max(MIN_DOCS, MIN_SHARE * n1)
-    found = counts.where(F.col("a") >= least).withColumn("x", odds).where(f"x >= {MIN_ODDS}").orderBy(F.desc(F.col("x") * F.sqrt("a")), "w").limit(LEXICON).collect()
-    lexicon = {r.w: float(r.x) for r in found}
+    words = map_text(texts, split, "w array<string>", "y", "fold").select("y", "fold", F.explode("w").alias("w"))
+    each = [F.count(F.when((F.col("y") == y) & (F.col("fold") == k), 1)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(FOLDS)]
+    counts = words.groupBy("w").agg(*each).where(F.greatest(*[F.col(f"n1_{k}") for k in range(FOLDS)]) > 0)
+    counts = counts.where(sum(F.col(f"n1_{k}") for k in range(FOLDS)) >= MIN_DOCS).orderBy("w").collect()
+    names = [r.w for r in counts]
+    seen = np.array([[[r[f"n{y}_{k}"] for k in range(FOLDS)] for y in (0, 1)] for r in counts], np.int64).reshape(-1, 2, FOLDS)
 
-    def measure(batch):
-        return {"x": pa.array(Features(lexicon).matrix(batch).tolist(), pa.list_(pa.float64()))}
+    def learned(fold: int | None) -> dict[str, float]:
+        rest = np.array([k != fold for k in range(FOLDS)])
+        n = seen[:, :, rest].sum(axis=2)
+        return lexicon_of(n[:, 1], n[:, 0], size[1, rest].sum(), size[0, rest].sum(), names)
 
-    rows = map_text(second, measure, "x array<double>", "y").collect()
-    rows.sort(key=lambda r: (r.x, r.y))
+    rows = []
+    for k in range(FOLDS):
+
+        def measure(batch, lexicon=learned(k)):  # noqa: B008
+            return {"x": pa.array(Features(lexicon).matrix(batch).tolist(), pa.list_(pa.float64()))}
+
+        rows += map_text(texts.where(F.col("fold") == k), measure, "x array<double>", "y", "fold").collect()
+    rows.sort(key=lambda r: (r.x, r.y, r.fold))
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(NAMES))
-    y = np.array([r.y for r in rows], np.float64)
-    tables.drop(texts)
-    return Model(lexicon, x, y, share)
+    y, fold = np.array([r.y for r in rows], np.float64), np.array([r.fold for r in rows])
+    tables.only()
+    return Model(learned(None), x, y, fold, share)
 
 
 def score(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
@@ -272,7 +290,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, in one pass."""
+    """The rows of ``docs`` that are not predicted toxic, in one pass.
+
+    Rows are judged by their text alone: null and empty texts score as texts without words, repeated rows alike, and
+    all columns pass unchanged whatever their names. An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
