@@ -11,13 +11,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import sliced
+from ionlake.llm.common import Written, sliced
 
 #: Share of an item's characters that may be edited.
 EDIT_RATE = 0.08
@@ -27,6 +26,10 @@ EXACT_UNDER = 40
 MIN_CHARS = 1
 #: Characters of items searched for at once; each block is broadcast, and its automaton takes about 100 bytes for each.
 BLOCK_CHARS = 1_000_000
+#: Blocks broadcast for one pass over the documents; a longer benchmark takes further passes, with written results.
+PASS_BLOCKS = 8
+#: Bytes of documents that a task holds while it goes through several blocks.
+GROUP_BYTES = 64 << 20
 
 
 def fold(text: str | None) -> str:
@@ -99,9 +102,8 @@ class Searcher:
         if found:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, distance, end in the folded text) for each item within its budget, nearest place first."""
-        text = fold(text)
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(item id, distance, end) in a folded text for each item within its budget, nearest place first."""
         if not text or not self.items:
             return []
         windows: dict[int, list[tuple[int, int]]] = {}
@@ -149,60 +151,108 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _passes(spark, benchmark: DataFrame, most: int, rate: float) -> Iterator[Finder]:
+    """Finders of up to PASS_BLOCKS blocks each."""
+    blocks = []
+    for block in _blocks(benchmark, most):
+        blocks.append(spark.sparkContext.broadcast(block))
+        if len(blocks) == PASS_BLOCKS:
+            yield Finder(blocks, rate)
+            blocks = []
+    if blocks:
+        yield Finder(blocks, rate)
+
+
+class Finder:
+    """Finds the items of some blocks in batches of documents; one automaton is held at a time."""
+
+    def __init__(self, blocks: list, rate: float):
+        self.blocks, self.rate, self.key = blocks, rate, uuid.uuid4().hex
+
+    def _searcher(self, k: int) -> Searcher:
+        key = f"{self.key}/{k}"
+        if key not in _SEARCHERS:
+            _SEARCHERS.clear()
+            _SEARCHERS[key] = Searcher(self.blocks[k].value, self.rate)
+        return _SEARCHERS[key]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int]]]]]:
+        """Each batch with what was found in each of its texts."""
+        held, size = [], 0
+        for b in sliced(batches):
+            held.append(b)
+            size += b.nbytes
+            if len(self.blocks) == 1 or size > GROUP_BYTES:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, held: list[pa.RecordBatch]):
+        texts = [[fold(t) for t in b.column("text").to_pylist()] for b in held]
+        found = [[[] for _ in part] for part in texts]
+        for k in range(len(self.blocks) if held else 0):
+            s = self._searcher(k)
+            for part, out in zip(texts, found, strict=True):
+                for i, t in enumerate(part):
+                    out[i] += s.find(t)
+        yield from zip(held, found, strict=True)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance`` and ``match_end`` for each document that holds an item within its edits.
 
     One row for each row of ``docs`` and item, with the least distance and the first place (in the folded text) where
     it is reached. Null and empty texts hold nothing; items without an id or text are ignored; those shorter than
-    EXACT_UNDER match without edits and as whole words only; equal items all match; repeated rows each give their rows. Other columns are not read. Empty tables give no rows.
+    EXACT_UNDER match without edits and as whole words only; equal items all match; repeated rows each give their rows;
+    a null doc_id stays null. Whole texts are searched. Other columns are not read. Empty tables give no rows.
     """
     spark, kept = docs.sparkSession, docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = kept.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, item_id long, distance int, match_end long"
 
-    def search(block):
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
+    def search(finder):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if key not in _SEARCHERS:
-                _SEARCHERS.clear()
-                _SEARCHERS[key] = Searcher(sent.value, rate)
-            s = _SEARCHERS[key]
-            for b in sliced(batches):
-                rows, found = [], []
-                for i, t in enumerate(b.column("text").to_pylist()):
-                    for f in s.find(t):
-                        rows.append(i)
-                        found.append(f)
-                item, dist, end = zip(*found, strict=True) if found else ((), (), ())
+            for b, found in finder.run(batches):
+                rows = [i for i, f in enumerate(found) for _ in f]
+                item, dist, end = zip(*[x for f in found for x in f], strict=True) if rows else ((), (), ())
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(pa.array(rows, pa.int64())), "item_id": pa.array(item, pa.int64()), "distance": pa.array(dist, pa.int32()), "match_end": pa.array(end, pa.int64())})
 
         return kept.mapInArrow(run, schema)
 
-    found = [search(b) for b in _blocks(benchmark, block_chars)]
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+    out, before, tables = None, None, None
+    for finder in _passes(spark, benchmark, block_chars, rate):
+        if before is not None:  # a further pass: what the one before found is written, and its blocks are let go
+            tables = tables or Written(spark, "matches")
+            part = tables.put(search(before))
+            out = part if out is None else out.union(part)
+            for x in before.blocks:
+                x.unpersist()
+        before = finder
+    if before is None:
+        return spark.createDataFrame([], schema)
+    return search(before) if out is None else out.union(search(before))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without an id are judged by their own text."""
-    ids = None
-    columns = docs.columns
-    for block in _blocks(benchmark, block_chars):
-        docs = _without(docs, block, rate)
-        ids = True
-    return docs.select(*columns) if ids else docs
+    """``docs`` without the documents that hold a benchmark item, by the rules of ``matches``.
+
+    Each row is judged by its own text, so rows without an id, with a repeated id or with clashing column names are like
+    any others. Null and empty texts stay; an empty benchmark drops nothing; an empty table stays empty.
+    """
+    tables, before = None, None
+    for finder in _passes(docs.sparkSession, benchmark, block_chars, rate):
+        if before is not None:
+            tables = tables or Written(docs.sparkSession, "clean")
+            docs = tables.put(_without(docs, before))
+        before = finder
+    return docs if before is None else _without(docs, before)
 
 
-def _without(docs: DataFrame, block, rate: float) -> DataFrame:
-    """Rows that hold none of the block's items, found and dropped in one pass over the rows."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+def _without(docs: DataFrame, finder: Finder) -> DataFrame:
+    """Rows that hold none of the finder's items, found and dropped in one pass over the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SEARCHERS:
-            _SEARCHERS.clear()
-            _SEARCHERS[key] = Searcher(sent.value, rate)
-        s = _SEARCHERS[key]
-        for b in sliced(batches):
-            yield b.filter(pa.array([not s.find(t) for t in b.column("text").to_pylist()], pa.bool_()))
+        for b, found in finder.run(batches):
+            yield b.filter(pa.array([not f for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
