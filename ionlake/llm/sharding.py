@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionlake.llm.common import fresh
+
 #: Default size, a prime well over 100 times the number of shards; the most that is broadcast is MAX_SIZE rows of 8 bytes.
 TABLE_SIZE, MAX_SIZE = 65_537, 4_194_319
 
@@ -69,7 +71,7 @@ def fill_table(shards: list[str], size: int = TABLE_SIZE, weights: list[float] |
 
 def key_slot(keys: list[str], size: int):
     """Slot of a row's key columns: XXH64 with Spark's seed over all of them; null is a key of its own."""
-    marked = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in keys]
+    marked = [F.coalesce(F.concat(F.lit("v"), F.col(f"`{k}`").cast("string")), F.lit("n")) for k in keys]
     return F.pmod(F.xxhash64(*marked), F.lit(size)).cast("int")
 
 
@@ -77,15 +79,17 @@ def place(df: DataFrame, keys: list[str], owners: np.ndarray, slot: str = "slot"
     """``df`` with the slot and shard index of each row.
 
     Equal keys go to equal shards; null is a key like any other; repeated rows stay; columns of ``df`` that have the
-    names of the new ones are replaced; an empty table stays empty. Texts are not read unless they are keys.
+    names of the new ones, in whatever case, are replaced; all others pass unchanged; an empty table stays empty. Texts
+    are not read unless they are keys.
     """
     size = len(owners)
     if size > MAX_SIZE:
         raise ValueError(f"more than {MAX_SIZE} slots would be broadcast")
     spark = df.sparkSession
-    schema = T.StructType([T.StructField("__slot", T.IntegerType(), False), T.StructField("__shard", T.IntegerType(), False)])
-    table = spark.createDataFrame(pd.DataFrame({"__slot": np.arange(size, dtype=np.int32), "__shard": owners}), schema)
-    at = df.withColumn("__at", key_slot(keys, size))
-    out = at.join(F.broadcast(table), F.col("__at") == F.col("__slot"), "left")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
-    return out.select(*kept, F.col("__at").alias(slot), F.col("__shard").alias(shard))
+    taken = [*df.columns, slot, shard]
+    at, number, owner = fresh(taken, "at", "number", "owner")
+    schema = T.StructType([T.StructField(number, T.IntegerType(), False), T.StructField(owner, T.IntegerType(), False)])
+    table = spark.createDataFrame(pd.DataFrame({number: np.arange(size, dtype=np.int32), owner: owners}), schema)
+    out = df.withColumn(at, key_slot(keys, size)).join(F.broadcast(table), F.col(at) == F.col(number), "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot.lower(), shard.lower())]
+    return out.select(*kept, F.col(at).alias(slot), F.col(owner).alias(shard))
