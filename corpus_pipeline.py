@@ -39,9 +39,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document left, with their number and digests."""
+    """``ids`` of each document left, with their number and digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(docs, path, "doc_id", "lang", "source")
+    return bpe.digests(docs, path, "doc_id", "lang", "source", ids=True)
 
 
 STAGES = [

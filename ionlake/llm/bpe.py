@@ -15,6 +15,7 @@ import json
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -207,8 +208,8 @@ def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
     return map_text(docs, run, "ids array<int>, decoded string", *carry)
 
 
-def digests(docs: DataFrame, path: str, *carry: str) -> DataFrame:
-    """``carry`` columns with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text.
+def digests(docs: DataFrame, path: str, *carry: str, ids: bool = False) -> DataFrame:
+    """``carry`` columns with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text; ``ids`` too if asked.
 
     A null or empty text has no tokens and the digests of empty strings. Repeated rows each get a row. Very long
     texts and words take memory in proportion to themselves. An empty table gives an empty table; other columns of
@@ -217,12 +218,18 @@ def digests(docs: DataFrame, path: str, *carry: str) -> DataFrame:
 
     def run(texts):
         bpe = load(path)
-        n, a, b = [], [], []
+        n, a, b, all_ids = [], [], [], []
         for t in texts:
             raw = bpe.encode_bytes(t)
             n.append(len(raw) // 4)
             a.append(hashlib.sha256(raw).hexdigest())
             b.append(hashlib.sha256(bpe.decode(memoryview(raw).cast("I").tolist()).encode()).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
-
-    return map_text(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", *carry)
+            if ids:
+                all_ids.append(raw)
+        out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+        if ids:
+            ends = pa.array(np.cumsum([0, *n]), pa.int32())
+            out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(all_ids), np.int32)))
+        return out
+
+    return map_text(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""), *carry)
