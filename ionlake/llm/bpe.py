@@ -197,6 +197,16 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+def _forget(path: str):
+    """A function that empties the memory of chunks, so that a worker that waits for other work does not hold it."""
+
+    def run():
+        load(path).memo.clear()
+        load(path).word_memo.clear()
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
     """``carry`` columns with ``ids`` array<int> and ``decoded`` of every whole text; null and empty texts give none."""
 
@@ -205,7 +215,7 @@ def encode(docs: DataFrame, path: str, *carry: str) -> DataFrame:
         ids = [bpe.encode(t) for t in texts]
         return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([bpe.decode(x) for x in ids], pa.string())}
 
-    return map_text(docs, run, "ids array<int>, decoded string", *carry)
+    return map_text(docs, run, "ids array<int>, decoded string", *carry, after=_forget(path))
 
 
 def digests(docs: DataFrame, path: str, *carry: str, ids: bool = False) -> DataFrame:
@@ -232,4 +242,4 @@ def digests(docs: DataFrame, path: str, *carry: str, ids: bool = False) -> DataF
             out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(all_ids), np.int32)))
         return out
 
-    return map_text(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""), *carry)
+    return map_text(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""), *carry, after=_forget(path))

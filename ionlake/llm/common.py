@@ -133,11 +133,11 @@ def train_rows(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string")) % 3 != 1
 
 
-def map_text(df: DataFrame, fn, schema: str, *carry: str) -> DataFrame:
+def map_text(df: DataFrame, fn, schema: str, *carry: str, after=None) -> DataFrame:
     """Apply ``fn(list of texts) -> dict of columns`` to batches of ``text``, keeping the ``carry`` columns.
 
     Only the named columns are read. ``fn`` sees None for a null text. Output columns come in the order of
-    ``carry`` and then ``schema``.
+    ``carry`` and then ``schema``. ``after`` is called at the end of a task, as workers live on.
     """
     kept = df.select(*[F.col(c) for c in carry], F.col("text").cast("string").alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
@@ -148,6 +148,8 @@ def map_text(df: DataFrame, fn, schema: str, *carry: str) -> DataFrame:
             made = fn(b.column("text").to_pylist())
             cols = {c: b.column(c) for c in carry} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in made.items()}
             yield pa.RecordBatch.from_pydict(cols)
+        if after:
+            after()
 
     return kept.mapInArrow(run, out)
 

@@ -9,8 +9,8 @@ share k more, so a set whose longer head has fewer shingles in common with all o
 
 Sets that share a shingle of their heads are compared by sketches, bitmaps of the parity of shingles: the bits that
 differ are never more than the shingles that differ, so a sketch drops no similar pair. Candidates are compared in full.
-Each round looks only into buckets that still hold several components and takes the nearest candidates of each set; the
-search ends when no bucket has a candidate left that was not compared. A bucket over BLOCK sets is cut into blocks, and
+Each round looks only into buckets that still hold several components and takes the nearest candidates of each set; a
+bucket is looked into again, for more of them, only if it had more. The search ends when none had. A bucket over BLOCK sets is cut into blocks, and
 every pair of blocks meets in a task of bounded size. Texts with equal sets are one class.
 """
 
@@ -296,7 +296,10 @@ def _heads(docs: DataFrame, common: np.ndarray, words: int, tables: Written) ->
 
 
 def _candidates(met: DataFrame, labels: DataFrame | None, sets: DataFrame, nearest: int, block: int) -> DataFrame:
-    """``a < b`` and ``more``: candidates in buckets with several labels; of buckets with the same members, in one."""
+    """``h``, ``a < b`` and ``more``: candidates in buckets with several labels; of buckets with the same members, in one.
+
+    ``more`` tells that the bucket ``h`` has further candidates for ``a``.
+    """
     known = met.withColumn("label", F.col("set"))
     if labels is not None:
         known = met.join(labels, F.col("set") == F.col("node"), "left").select("h", "set", F.coalesce("label", "set").alias("label"))
@@ -307,10 +310,10 @@ def _candidates(met: DataFrame, labels: DataFrame | None, sets: DataFrame, neare
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = dealt.select(place.alias("place"), "set", "label").join(sets, "set").select("place", "set", "label", "n", "sketch")
+    dealt = dealt.select(place.alias("place"), "h", "set", "label").join(sets, "set").select("place", "h", "set", "label", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rows = None, []
+        place, bucket, rows = None, 0, []
 
         def done():
             found = []
@@ -318,18 +321,17 @@ def _candidates(met: DataFrame, labels: DataFrame | None, sets: DataFrame, neare
                 s, label, n, sk = zip(*rows, strict=True)
                 found = list(Bucket(np.array(s), np.array(label), np.array(n), list(sk)).candidates(nearest))
             a, b, more = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+            return pa.RecordBatch.from_pydict({"h": pa.array([bucket] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
         for batch in batches:
-            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, h, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != place:
                     yield done()
-                    place, rows = p, []
+                    place, bucket, rows = p, h, []
                 rows.append(row)
         yield done()
 
-    found = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(run, "h long, a long, b long, more boolean")
 
 
 class Comparer:
@@ -390,13 +392,12 @@ def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, tables: W
     labels, nearest = None, NEAREST
     if links.limit(1).count():
         labels = tables.put(components(links))
-    while True:
+    while met is not None:
         found = tables.put(_candidates(met, labels, sets.select("set", "n", "sketch"), nearest, block))
-        new = tables.put(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if not new.limit(1).count():
-            if not found.where("more").limit(1).count():
-                break
-        else:
+        new = tables.put(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        again = found.where("more").select("h").distinct()
+        met = tables.put(met.join(again, "h", "left_semi")) if again.limit(1).count() else None
+        if new.limit(1).count():
             more = tables.put(compare.similar(new))
             tried, links = tried.union(new), links.union(more)
             if more.limit(1).count():
