@@ -120,7 +120,7 @@ def species_count(clustered: DataFrame, samples: DataFrame, fraction: float, gro
     per = clustered.join(s.select("sample_id", "group"), "sample_id").groupBy("cluster", "group", "sample_id").count()
     have = per.groupBy("cluster", "group", F.col("count").alias("k")).agg(F.count("*").alias("n"))
     need = F.greatest(F.bround(F.col("size") * fraction), F.lit(1))
-    ok = have.join(F.broadcast(sizes), "group").where(F.col("n") >= need)
+    ok = have.join(sizes, "group").where(F.col("n") >= need)
     return ok.groupBy("cluster").agg(F.max("k").cast("int").alias("species"))
 
 
@@ -188,7 +188,7 @@ def match_features(features: DataFrame, samples: DataFrame, tolerance: dict[str,
     return text.select("feature_id").join(found, "feature_id", "left").select("feature_id", F.coalesce("group", F.lit(-1)).alias("group"))
 
 
-def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None, max_overlap: float = 0.25, rounds: int = 20) -> DataFrame:
+def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None, max_overlap: float = 0.25) -> DataFrame:
     """Merge groups with near centroids whose samples hardly overlap; the group with more samples keeps its label.
 
     ``features`` has (feature_id, sample_id, group) and the descriptors. Each round joins neighbours in m/z order and
@@ -197,8 +197,7 @@ def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None,
     tolerance = tolerance or {"mz": 0.01, "rt": 5.0}
     cols = list(tolerance)
     now = features.select("feature_id", "sample_id", "group", *cols)
-    mapping: dict[int, int] = {}
-    for _ in range(rounds):
+    while True:  # each round has fewer groups than the one before
         cents = now.where("`group` >= 0").groupBy("group").agg(*[F.avg(c).alias(c) for c in cols], F.collect_set("sample_id").alias("samples"))
         w = W.orderBy(*reversed(cols))
         nxt = cents.select("group", "samples", *cols, *[F.lead(c).over(w).alias(f"n_{c}") for c in ("group", "samples", *cols)]).where("n_group is not null")
@@ -215,7 +214,6 @@ def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None,
                 used |= {g, h}
         if not new:
             break
-        mapping = {k: new.get(v, v) for k, v in mapping.items()} | new
-        table = F.broadcast(features.sparkSession.createDataFrame(list(new.items()), "group int, to int"))
+        table = features.sparkSession.createDataFrame(list(new.items()), "group int, to int")
         now = now.join(table, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
     return now.select("feature_id", "group")

@@ -147,7 +147,7 @@ class Matrix:
         out = self.values
         for name, ids in (("sample_id", sample_ids), ("group", groups)):
             want = self._check(name, ids)
-            out = out if want is None else out.join(F.broadcast(want), name, "left_semi")
+            out = out if want is None else out.join(want, name, "left_semi")
         return out.select("sample_id", "group", "value")
 
     def get_rows(self, *sample_ids) -> DataFrame:

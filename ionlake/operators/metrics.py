@@ -80,10 +80,31 @@ def loq(values: DataFrame) -> DataFrame:
     return limit(values, 10.0)
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 within ``by``; equal values share their mean rank."""
-    order = W.partitionBy(*by).orderBy(value)
-    return df.withColumn(name, F.rank().over(order) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2)
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank", splits: int = 0) -> DataFrame:
+    """Ranks from 1 within ``by``; equal values share their mean rank.
+
+    With ``splits``, for keys that may hold much of a large table, a key's distinct values are cut at that many
+    quantiles: counts before a part and within it are summed apart, so no task orders a whole key.
+    """
+    if not splits:
+        order = W.partitionBy(*by).orderBy(value)
+        return df.withColumn(name, F.rank().over(order) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2)
+    keys = [f"__k{i}" for i in range(len(by))]
+    counts = df.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(F.col("__v").cast("double"), [k / splits for k in range(1, splits)], 1000).alias("__cuts"))
+    same = lambda l, r, names: [F.col(f"{l}.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in names]
+    parts = counts.alias("c").join(cuts.alias("q"), same("c", "q", keys))
+    part = F.coalesce(F.size(F.filter("q.__cuts", lambda x: x < F.col("c.__v").cast("double"))), F.lit(0))
+    parts = parts.select(*[F.col(f"c.{k}").alias(k) for k in keys], F.col("c.__v").alias("__v"), F.col("c.__n").alias("__n"), part.alias("__part"))
+    sums = parts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "__part", before.alias("__before"))
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumn("__inside", inside).alias("p").join(sums.alias("s"), same("p", "s", [*keys, "__part"]))
+    rank = F.col("s.__before") + F.col("p.__inside") + (F.col("p.__n") + 1) / 2
+    ranks = placed.select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.__v").alias("__v"), rank.alias(name))
+    on = [F.col(b).eqNullSafe(F.col(k)) for b, k in zip([*by, value], [*keys, "__v"], strict=True)]
+    return df.join(ranks, on).drop(*keys, "__v")
 
 
 def correlation(values: DataFrame, samples: DataFrame, field: str, method: str = "pearson", by: list[str] | None = None) -> DataFrame:

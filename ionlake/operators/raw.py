@@ -55,7 +55,7 @@ def chromatograms(points: DataFrame, scans: DataFrame, targets: Sequence[float],
     spark = points.sparkSession
     t = spark.createDataFrame([(i, float(x)) for i, x in enumerate(targets)], "target int, target_mz double")
     w = t.select("target", (F.col("target_mz") - window).alias("lo"), (F.col("target_mz") + window).alias("hi"))
-    hit = range_join(points, F.broadcast(w), "mz", "lo", "hi", 2 * window)
+    hit = range_join(points, w, "mz", "lo", "hi", 2 * window)
     made = hit.groupBy("sample_id", "scan", "target").agg((F.sum if agg == "sum" else F.avg)("intensity").alias("i"))
     grid = scans.select("sample_id", "scan", "time").crossJoin(F.broadcast(t))
     out = grid.join(made, ["sample_id", "scan", "target"], "left")

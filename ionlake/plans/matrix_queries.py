@@ -146,8 +146,10 @@ for _name, _k, _f in (("lod", 3, "lod"), ("loq", 10, "loq")):
     register(_name, BASE + f"SELECT g AS \"group\", round(avg(v) + {_k} * stddev_samp(v), 4) AS metric FROM m WHERE type = 'blank' GROUP BY g")(lambda spark, d, f=_f: _out(getattr(matrix(spark, d).metrics, f)("blank"), 4))
 
 _AGG = {"lod": "avg(v) + 3 * stddev_samp(v)", "loq": "avg(v) + 10 * stddev_samp(v)", "sum": "sum(v)", "avg": "avg(v)", "median": "median(v)", "min": "min(v)", "max": "max(v)", "std": "stddev_samp(v)"}
+#: Digits that lie away from ties: values have two, means and medians more.
+_DIGITS = {"sum": 2, "min": 2, "max": 2}
 for _m, _sql in _AGG.items():
-    register(f"aggregate_{_m}", BASE + f'SELECT g AS "group", round({_sql}, 2) AS metric FROM m GROUP BY g')(lambda spark, d, m=_m: _out(metrics.aggregate(matrix(spark, d).values, m), 2))
+    register(f"aggregate_{_m}", BASE + f'SELECT g AS "group", round({_sql}, {_DIGITS.get(_m, 5)}) AS metric FROM m GROUP BY g')(lambda spark, d, m=_m: _out(metrics.aggregate(matrix(spark, d).values, m), _DIGITS.get(m, 5)))
 
 
 @register("correlation_pearson", BASE + 'SELECT g AS "group", round(corr(v, acctbal), 6) AS metric FROM m GROUP BY g')
@@ -183,9 +185,9 @@ for _m, _sql in _SCALE.items():
     register(f"scale_{_m}", BASE + f'SELECT sample_id, g AS "group", round({_sql}, 4) AS value FROM m WINDOW w AS (PARTITION BY g)')(lambda spark, d, m=_m: _values(transform.scale(matrix(spark, d).values, m), 4))
 
 
-@register("blank_correct", BASE + ", b AS (SELECT g, avg(v) AS b FROM m WHERE type = 'blank' GROUP BY g) SELECT sample_id, g AS \"group\", round(greatest(v - CASE WHEN type = 'blank' THEN 0 ELSE b END, 0), 2) AS value FROM m JOIN b USING (g)")
+@register("blank_correct", BASE + ", b AS (SELECT g, avg(v) AS b FROM m WHERE type = 'blank' GROUP BY g) SELECT sample_id, g AS \"group\", round(greatest(v - CASE WHEN type = 'blank' THEN 0 ELSE b END, 0), 6) AS value FROM m JOIN b USING (g)")
 def blank_correct(spark, d):
-    return _values(BlankCorrector().apply(matrix(spark, d)).values, 2)
+    return _values(BlankCorrector().apply(matrix(spark, d)).values)
 
 
 @register("sample_filter", BASE + "SELECT sample_id, g AS \"group\", round(v, 2) AS value FROM m WHERE NOT (type IN ('blank', 'qc') AND batch = 1) OR sample_id = 10")
@@ -226,9 +228,9 @@ def combine(spark, d):
     return _values(Matrix.combine(m.where_samples("batch = 0"), m.where_samples("batch = 1")).values, 2)
 
 
-@register("matrix_sql", BASE + "SELECT type, count(*) AS n, round(avg(v), 4) AS mean FROM m GROUP BY type")
+@register("matrix_sql", BASE + "SELECT type, count(*) AS n, round(avg(v), 6) AS mean FROM m GROUP BY type")
 def matrix_sql(spark, d):
-    return matrix(spark, d).sql("SELECT type, count(*) AS n, round(avg(value), 4) AS mean FROM matrix_values JOIN samples USING (sample_id) GROUP BY type")
+    return matrix(spark, d).sql("SELECT type, count(*) AS n, round(avg(value), 6) AS mean FROM matrix_values JOIN samples USING (sample_id) GROUP BY type")
 
 
 @register("matrix_pipeline", BASE + """, b AS (SELECT g, avg(v) AS b FROM m WHERE type = 'blank' GROUP BY g),

@@ -223,7 +223,7 @@ def local_extrema(spark, d):
 
 @register("average_rank", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0::DOUBLE AS rank FROM orders")
 def average_rank(spark, d):
-    return metrics.average_ranks(read(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "rank")
+    return metrics.average_ranks(read(spark, d, "orders"), "o_totalprice", ["o_orderpriority"], splits=64).select("o_orderkey", "rank")
 
 
 @register("cosine_similarity", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -348,10 +348,20 @@ def isotope_envelope(spark, d):
     return chem.envelopes(spark.createDataFrame([(x,) for x in FORMULAS], "formula string"))
 
 
-@register("formula_generate")
+_MASS = {s: max(r, key=lambda t: t[2])[1] for (s, _), r in chem.ISOTOPES.items() if s in ("C", "H", "N", "O")}
+_COUNT = " || ".join(f"CASE {x} WHEN 0 THEN '' WHEN 1 THEN '{x.upper()}' ELSE '{x.upper()}' || {x} END" for x in "chno")
+
+
+@register(
+    "formula_generate",
+    "WITH m AS (SELECT unnest([180.063388, 46.041865, 342.116212]::DOUBLE[]) AS mass), f AS (SELECT c.i AS c, h.i AS h, n.i AS n, o.i AS o, "
+    + " + ".join(f"{x}.i * {_MASS[x.upper()]!r}::DOUBLE" for x in "chno")
+    + f" AS w FROM range(31) c(i), range(61) h(i), range(7) n(i), range(16) o(i)) SELECT mass, {_COUNT} AS formula, round(w, 6) AS formula_mass FROM m JOIN f ON abs(w - mass) <= 0.002",
+)
 def formula_generate(spark, d):
     df = spark.createDataFrame([(180.063388,), (46.041865,), (342.116212,)], "mass double")
-    return chem.formula_search(df, {"C": (0, 30), "H": (0, 60), "N": (0, 6), "O": (0, 15)}, 0.002)
+    out = chem.formula_search(df, {"C": (0, 30), "H": (0, 60), "N": (0, 6), "O": (0, 15)}, 0.002)
+    return out.withColumn("formula_mass", F.round("formula_mass", 6))
 
 
 @register("envelope_score")
