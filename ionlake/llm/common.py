@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -123,6 +124,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int
                 yield part
 
 
+def release() -> None:
+    """Hand freed memory back to the system, where the C library can, as workers wait for other work with what they hold."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     """Whether ``df`` has no more than ``n`` rows; reads no further than that many."""
     return df.limit(n + 1).count() <= n
@@ -150,6 +157,7 @@ def map_text(df: DataFrame, fn, schema: str, *carry: str, after=None) -> DataFra
             yield pa.RecordBatch.from_pydict(cols)
         if after:
             after()
+        release()
 
     return kept.mapInArrow(run, out)
 
