@@ -43,6 +43,8 @@ COUNTED = 1_000_000
 SKETCH, MAX_SKETCH = 4, 1 << 16
 #: Candidates of a set and bucket in the first round; each later round takes GROW times as many.
 NEAREST, GROW = 3, 8
+#: Links joined into components on the driver (16 bytes each); more are joined by rounds of shuffles.
+SMALL = 200_000
 #: Words hashed at a time, and bytes from which a word counts by its digest.
 _STEP, _LONG = 1 << 14, 256
 
@@ -391,7 +393,7 @@ def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, tables: W
     links = tables.put(compare.similar(tried))
     labels, nearest = None, NEAREST
     if links.limit(1).count():
-        labels = tables.put(components(links))
+        labels = tables.put(components(links, small=SMALL))
     while met is not None:
         found = tables.put(_candidates(met, labels, sets.select("set", "n", "sketch"), nearest, block))
         new = tables.put(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
@@ -401,7 +403,7 @@ def similar_sets(docs: DataFrame, rows: DataFrame, common: np.ndarray, tables: W
             more = tables.put(compare.similar(new))
             tried, links = tried.union(new), links.union(more)
             if more.limit(1).count():
-                labels = tables.put(components(links))
+                labels = tables.put(components(links, small=SMALL))
         nearest *= GROW
     return labels
 

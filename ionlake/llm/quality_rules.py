@@ -264,13 +264,14 @@ def estimates(vecs: DataFrame, tables: Written, broadcast_groups: int = 20_000)
         state = after
     best = state.groupBy("g").agg(F.first("parent").alias("parent"), F.min_by(F.struct("n", "mean", "prec", "scale"), F.struct("logdet", "start")).alias("e"))
     best = tables.put(best.select("g", "parent", "e.*"))
-    found = best.where("parent is null").select("g", "mean", "prec", "scale")
+    found, leaned = best.where("parent is null").select("g", "mean", "prec", "scale"), []
     for level in (F.col("parent") == "all", F.col("parent") != "all"):
         parents = found.select(F.col("g").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("mean", "prec", "scale")])
-        found = best.where(level).join(parents, "parent").mapInPandas(_leaning, _FOUND)
-    out = tables.put(found)
-    tables.drop(state, best)
-    return out
+        # Written, as a task that leans on parents while it makes them would take two Python workers, which live on.
+        found = tables.put(best.where(level).join(parents, "parent").mapInPandas(_leaning, _FOUND))
+        leaned.append(found)
+    tables.drop(state, best, *leaned[:-1])
+    return found
 
 
 def _packed(docs: DataFrame, carry: list[str], text: bool) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, map_text, one_each, row_key
+from ionlake.llm.common import Written, at_most, map_text, one_each, row_key
 
 SEED, BITS = 42, 64
 #: Fingerprints of a bucket that meet in one task: up to two blocks of about so many, 16 bytes each.
@@ -153,11 +153,28 @@ def links(classes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``node`` and ``label``, the least node of its component, for the nodes of ``edges`` (``a``, ``b``).
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges ``a``, ``b`` in order, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))  # a node's parent is never greater, so a root is the least
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    return nodes, nodes[np.array([root(i) for i in range(len(up))], np.int64)]
+
+
+def components(edges: DataFrame, most: int = 60, small: int = 0) -> DataFrame:
+    """``node`` and ``label``, the least node of its component, for the nodes of ``edges`` (``a``, ``b``, both long).
 
     Alternating large-star and small-star contraction. Each round is written to the shared folder, so that a lost
-    executor costs no earlier round; only a count and a checksum come to the driver.
+    executor costs no earlier round; only a count and a checksum come to the driver. Up to ``small`` edges are joined
+    on the driver instead, without the shuffles of the rounds.
     """
     tables = Written(edges.sparkSession, "components")
 
@@ -172,6 +189,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         return least.select(F.col("m").alias("a"), "b").union(hung).distinct()
 
     now = tables.put(edges.select("a", "b").where("a < b").distinct())
+    if small and at_most(now, small):
+        found = now.toArrow()
+        tables.drop(now)
+        node, label = joined(*(found.column(c).to_numpy() for c in "ab"))
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "label": label}), "node long, label long")
     mark = None
     for _ in range(most):
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()

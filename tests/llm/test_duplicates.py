@@ -99,6 +99,25 @@ def test_dense_bucket_and_chains(spark):
         assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(-150, 150)] + [tuple(sorted(rng.sample(range(1000, 3000), 2))) for _ in range(900)] + [(-(2**63), 2**63 - 1), (7, 7)]
+    df = spark.createDataFrame(links + links[:50], "a long, b long").repartition(5)
+    rounds = sorted(map(tuple, S.components(df).collect()))
+    assert sorted(map(tuple, S.components(df, small=len(links) // 2).collect())) == rounds  # too many: by rounds
+    puts, put = [], S.Written.put
+    monkeypatch.setattr(S.Written, "put", lambda self, x: puts.append(x) or put(self, x))
+    assert sorted(map(tuple, S.components(df, small=J.SMALL).collect())) == rounds and len(puts) == 1
+    assert S.components(df.limit(0), small=J.SMALL).count() == 0
+
+
+def test_similar_sets_with_links_joined_by_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(similar_rows(120), "doc_id long, text string, label string")
+    few = sorted(r.doc_id for r in J.keep_one(df).collect())
+    monkeypatch.setattr(J, "SMALL", 1)
+    assert sorted(r.doc_id for r in J.keep_one(df).collect()) == few
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
