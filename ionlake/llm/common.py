@@ -130,6 +130,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(run):
+    """``run``, a function of a task's batches, that hands freed memory back once it is through and its variables are gone."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     """Whether ``df`` has no more than ``n`` rows; reads no further than that many."""
     return df.limit(n + 1).count() <= n

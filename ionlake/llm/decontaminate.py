@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, sliced
+from ionlake.llm.common import Written, sliced, trimmed
 
 #: Share of an item's characters that may be edited.
 EDIT_RATE = 0.08
@@ -255,4 +255,4 @@ def _without(docs: DataFrame, finder: Finder) -> DataFrame:
         for b, found in finder.run(batches):
             yield b.filter(pa.array([not f for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Bloom, Written, one_each, row_key, sliced
+from ionlake.llm.common import Bloom, Written, one_each, row_key, sliced, trimmed
 from ionlake.llm.simhash import components, majority
 from ionlake.llm.simhash import links as covering_links
 
@@ -240,7 +240,7 @@ def _measured(docs: DataFrame, words: int) -> DataFrame:
             cols = empty | {"set": pa.array(h), "n": pa.array(n)}
             yield pa.RecordBatch.from_pydict({c: cols[c] for c in ("doc_id", "key", "set", "n", "sketch", "fp")})
 
-    return docs.mapInArrow(run, f"doc_id {kind}, key string, set long, n long, sketch binary, fp long")
+    return docs.mapInArrow(trimmed(run), f"doc_id {kind}, key string, set long, n long, sketch binary, fp long")
 
 
 def _heads(docs: DataFrame, common: np.ndarray, words: int, tables: Written) -> DataFrame:
@@ -289,8 +289,8 @@ def _heads(docs: DataFrame, common: np.ndarray, words: int, tables: Written) ->
             yield made(h, s, n)
 
     schema = "h long, set long, need int"
-    dealt = docs.select("text").mapInArrow(deal, schema)
-    met = tables.put(dealt.repartition("h").sortWithinPartitions("h", "set").mapInArrow(shared, schema))
+    dealt = docs.select("text").mapInArrow(trimmed(deal), schema)
+    met = tables.put(dealt.repartition("h").sortWithinPartitions("h", "set").mapInArrow(trimmed(shared), schema))
     enough = met.groupBy("set").agg(F.count("*").alias("n"), F.max(F.abs("need")).alias("least")).where("n >= least").select("set")
     out = tables.put(met.where("need > 0").select("h", "set").join(enough, "set", "left_semi"))
     tables.drop(met)
@@ -333,7 +333,7 @@ def _candidates(met: DataFrame, labels: DataFrame | None, sets: DataFrame, neare
                 rows.append(row)
         yield done()
 
-    return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(run, "h long, a long, b long, more boolean")
+    return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(trimmed(run), "h long, a long, b long, more boolean")
 
 
 class Comparer:
@@ -360,7 +360,7 @@ class Comparer:
                 made = [distinct(all_shingles(t, words)) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"set": pa.array([name_of(h) for h in made], pa.int64()), "hashes": _lists(made)})
 
-        taken = self.docs.select("text", *places).mapInArrow(run, "set long, hashes array<long>")
+        taken = self.docs.select("text", *places).mapInArrow(trimmed(run), "set long, hashes array<long>")
         taken = taken.join(need, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
         self.known.append(self.tables.put(taken))
         self.tables.drop(need)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionlake.llm.common import Written, map_text, sliced, train_rows
+from ionlake.llm.common import Written, map_text, sliced, train_rows, trimmed
 from ionlake.llm.sampling import labelled
 
 #: Labelled texts of each class that the fit may use.
@@ -302,4 +302,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             p = sent.value.score(b.column("text").to_pylist()) if b.num_rows else np.zeros(0)
             yield b.filter(pa.array(p < THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

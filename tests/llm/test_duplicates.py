@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from ionlake.llm import common
 from ionlake.llm import decontaminate as D
 from ionlake.llm import jaccard as J
 from ionlake.llm import simhash as S
@@ -118,6 +119,13 @@ def test_similar_sets_with_links_joined_by_rounds(spark, monkeypatch):
     assert sorted(r.doc_id for r in J.keep_one(df).collect()) == few
 
 
+def test_memory_goes_back_once_a_task_is_through(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(len(calls)))
+    out = common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(out) == 2 and not calls and list(out) == [4] and calls == [0]
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).count() == 0 and S.keep_one(df).count() == 0
