@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionlake.session import ship
+from ionlake.written import Written  # noqa: F401
 
 
 #: Rows sent to Python at once, as whole texts are long; a session that sets a number of its own keeps it.
@@ -35,67 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (one machine, as in tests) gets a folder of its own for as long as Python runs;
-    any other session is refused, as executors do not see each other's local folders.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="ionlake-shared-")
-        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
-    return _OWN[sc.applicationId]
-
-
-class Written:
-    """Tables written to the shared folder to cut lineage.
-
-    ``drop`` removes one that is no longer read. Those that a returned DataFrame still reads stay until Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        if not self.count:
-            atexit.register(self._sweep)
-        self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._written_path = path
-        return out
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            self._delete(df._written_path)
-
-    def only(self, *tables: DataFrame) -> None:
-        """Remove all tables but these."""
-        kept = {df._written_path for df in tables}
-        for k in range(1, self.count + 1):
-            if f"{self.base}/{k}" not in kept:
-                self._delete(f"{self.base}/{k}")  # one that is gone already does no harm
-
-    def _sweep(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before Python
-            self._delete(self.base)
-
-
 def fresh(columns: Iterable[str], *names: str) -> tuple[str, ...]:
     """Column names like ``names`` that none of ``columns`` has, whatever the case."""
     taken = {c.lower() for c in columns}

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ionlake.operators.joins import global_islands, islands
+from ionlake.written import Written
 
 
 def min_samples(sizes: Sequence[int], fraction: float) -> int:
@@ -145,12 +146,14 @@ def _split(pdf: pd.DataFrame, cols: list[str], k: int, max_deviation: float) ->
 def match_features(features: DataFrame, samples: DataFrame, tolerance: dict[str, float] | None = None, min_fraction: float = 0.25, max_deviation: float = 3.0, groups: Sequence[str] | None = None, bucket: float = 50.0) -> DataFrame:
     """``feature_id`` and ``group`` (a label, -1 for noise) of every feature.
 
-    ``tolerance`` gives the descriptors and how far one species may vary. Labels are numbered by m/z.
+    ``tolerance`` gives the descriptors and how far one species may vary. Labels are numbered by m/z. Each step is
+    written, as a plan that holds all of them, each read several times, takes more memory than a driver has.
     """
     tolerance = tolerance or {"mz": 0.01, "rt": 5.0}
     cols = list(tolerance)
     eps = min(tolerance.values())
-    scaled = features.select("feature_id", "sample_id", *[(F.col(c).cast("double") * (eps / t)).alias(c) for c, t in tolerance.items()])
+    tables = Written(features.sparkSession, "matching")
+    scaled = tables.put(features.select("feature_id", "sample_id", *[(F.col(c).cast("double") * (eps / t)).alias(c) for c, t in tolerance.items()]))
     named = global_islands(scaled, cols[0], eps, max(bucket * eps, bucket * eps / tolerance[cols[0]]), "i0")
     keys = ["i0"]
     for c in cols[1:]:
@@ -168,8 +171,7 @@ def match_features(features: DataFrame, samples: DataFrame, tolerance: dict[str,
         return pdf[["feature_id", "sample_id", "cluster", *cols]]
 
     text = named.withColumn("feature_id", F.col("feature_id").cast("string")).withColumn("sample_id", F.col("sample_id").cast("string"))
-    # Read twice, by the count and by the split; kept on the executors and made again if one is lost.
-    clustered = text.groupBy(*keys).applyInPandas(cluster, schema).persist()
+    clustered = tables.put(text.groupBy(*keys).applyInPandas(cluster, schema))
     s = samples.withColumn("sample_id", F.col("sample_id").cast("string"))
     count = species_count(clustered.where("cluster is not null"), s, min_fraction, groups)
     known = clustered.join(count, "cluster")
@@ -179,13 +181,15 @@ def match_features(features: DataFrame, samples: DataFrame, tolerance: dict[str,
         pdf["species_label"] = _split(pdf, cols, int(pdf["species"].iloc[0]), max_deviation)
         return pdf[["feature_id", "sample_id", "cluster", "species_label", *cols]]
 
-    parts = known.groupBy("cluster").applyInPandas(split, schema.replace("cluster string", "cluster string, species_label int")).persist()
+    parts = tables.put(known.groupBy("cluster").applyInPandas(split, schema.replace("cluster string", "cluster string, species_label int")))
     good = parts.where("species_label >= 0")
     centres = good.groupBy("cluster", "species_label").agg(*[F.avg(c).alias(c) for c in cols])
     # One row for each species, far fewer than features: numbering them needs one order.
     numbered = centres.withColumn("group", (F.row_number().over(W.orderBy(*cols)) - 1).cast("int")).select("cluster", "species_label", "group")
     found = good.join(numbered, ["cluster", "species_label"]).select("feature_id", "group")
-    return text.select("feature_id").join(found, "feature_id", "left").select("feature_id", F.coalesce("group", F.lit(-1)).alias("group"))
+    out = tables.put(scaled.select(F.col("feature_id").cast("string")).join(found, "feature_id", "left").select("feature_id", F.coalesce("group", F.lit(-1)).alias("group")))
+    tables.only(out)
+    return out
 
 
 def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None, max_overlap: float = 0.25) -> DataFrame:
@@ -196,7 +200,8 @@ def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None,
     """
     tolerance = tolerance or {"mz": 0.01, "rt": 5.0}
     cols = list(tolerance)
-    now = features.select("feature_id", "sample_id", "group", *cols)
+    tables = Written(features.sparkSession, "merging")
+    now = tables.put(features.select("feature_id", "sample_id", "group", *cols))
     while True:  # each round has fewer groups than the one before
         cents = now.where("`group` >= 0").groupBy("group").agg(*[F.avg(c).alias(c) for c in cols], F.collect_set("sample_id").alias("samples"))
         w = W.orderBy(*reversed(cols))
@@ -215,5 +220,6 @@ def merge_groups(features: DataFrame, tolerance: dict[str, float] | None = None,
         if not new:
             break
         table = features.sparkSession.createDataFrame(list(new.items()), "group int, to int")
-        now = now.join(table, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
+        now = tables.put(now.join(table, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to"))
+        tables.only(now)
     return now.select("feature_id", "group")

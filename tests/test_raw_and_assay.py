@@ -290,6 +290,14 @@ def test_annotation_and_consensus(spark):
     assert set(labels) == {3}
 
 
+def test_feature_matching_keeps_the_plan_small(spark):
+    data = Q.assay_data(spark, 2, True)
+    for df in (data.features, assay.consensus_annotation(data.features), assay.MissingImputer().apply(data).fill):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" not in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted((r.isotopologue_group, r.isotopologue_index, r.charge) for r in assay.consensus_annotation(data.features).collect()) == [(0, 0, 1), (0, 1, 1), (2, 0, 1), (2, 1, 1), (4, 0, 1), (4, 1, 1)]
+
+
 def test_consensus_rules(spark):
     rows = []
     for s in range(5):
