@@ -353,6 +353,14 @@ def test_imputation_recovers_a_removed_peak(spark):
     assert out.fill.count() == 1 and abs(got["sample-1", 2] / full["sample-1", 2] - 1) < 0.05
 
 
+def test_missing_imputation_query_fits_a_small_driver(spark):
+    out = Q.missing_imputation(spark, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("Window [") < 10
+    row = out.collect()
+    assert [(r.sample_id, r.group) for r in row] == [("sample-1", 2)] and row[0].value > 0
+
+
 def test_snapshots():
     s = assay.Snapshots(1)
     s.create("one")
