@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionlake.operators import metrics, transform
-from ionlake.operators.filters import BlankCorrector, CorrelationFilter, CVFilter, DetectionRateFilter, DRatioFilter, FeatureFilter, Normalizer, SampleFilter
-from ionlake.operators.matrix import Matrix
+from ionlake.operators.filters import BlankCorrector, ColumnFilter, CorrelationFilter, CVFilter, DetectionRateFilter, DRatioFilter, FeatureFilter, Normalizer, SampleFilter
+from ionlake.operators.matrix import EmptyMatrixError, Matrix
 from ionlake.plans.pipeline import Pipeline
 from ionlake.plans.status import MatrixStatus
 from ionlake.session import ship
@@ -65,6 +65,14 @@ def _values(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("sample_id", "group", F.round("value", digits).alias("value"))
 
 
+def _kept(step: ColumnFilter, m: Matrix) -> DataFrame:
+    """The groups that a filter keeps. A step refuses to leave a matrix without groups; a query then has no rows."""
+    try:
+        return step.apply(m).groups.select("group")
+    except EmptyMatrixError:
+        return m.groups.select("group").where(F.lit(False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -104,7 +112,7 @@ def cv_filter(spark, d):
 
 @register("cv_filter_grouped", BASE + ", each AS (SELECT g, grp, stddev_samp(v) / avg(v) AS cv FROM m GROUP BY g, grp) SELECT g AS \"group\" FROM each GROUP BY g HAVING count(*) > count(cv) OR min(cv) BETWEEN 0.1 AND 0.215")
 def cv_filter_grouped(spark, d):
-    return CVFilter(lb=0.1, ub=0.215, robust=False, filter={}, group_by=("group",), aggregation="min").apply(matrix(spark, d)).groups.select("group")
+    return _kept(CVFilter(lb=0.1, ub=0.215, robust=False, filter={}, group_by=("group",), aggregation="min"), matrix(spark, d))
 
 
 @register("dratio", BASE + "SELECT g AS \"group\", round(stddev_samp(v) FILTER (type = 'qc') / stddev_samp(v) FILTER (type = 'sample'), 6) AS metric FROM m GROUP BY g")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ionlake.operators import metrics, transform
 from ionlake.operators.filters import BlankCorrector, ColumnTransformer, CorrelationFilter, CVFilter, DetectionRateFilter, DRatioFilter, FeatureFilter, Normalizer, RowTransformer, SampleFilter, Scaler
 from ionlake.operators.matrix import EmptyMatrixError, Matrix, UnknownFieldError
+from ionlake.plans import matrix_queries
 from ionlake.plans.pipeline import OPERATORS, Pipeline
 from ionlake.plans.status import MatrixStatus, StatusError
 
@@ -150,6 +151,21 @@ def test_cv_filter(spark):
     assert CVFilter(ub=0.01, robust=False, filter={"type": "qc"}).apply(make(spark, [[NAN], [NAN]], ["qc", "qc"])).list_groups() == [0]  # NaN is kept
 
 
+@pytest.mark.parametrize(("prices", "kept"), [((100.0, 0.0, 0.0, 0.0), []), ((100.0, 100.0, 130.0, 130.0), ["b"])])
+def test_cv_query_without_a_group_left_has_no_rows(spark, tmp_path, prices, kept):
+    tables = {
+        "supplier": ([(k + 1, 0, 1.0) for k in range(4)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+        "nation": ([(0, 0)], "n_nationkey int, n_regionkey int"),
+        "region": ([(0, "r")], "r_regionkey int, r_name string"),
+        "part": ([(1, "b", 1.0, 1)], "p_partkey long, p_brand string, p_retailprice double, p_size int"),
+        "lineitem": ([(1, k + 1, x) for k, x in enumerate(prices) if x], "l_partkey long, l_suppkey long, l_extendedprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = matrix_queries.QUERIES["cv_filter_grouped"](spark, str(tmp_path))
+    assert out.columns == ["group"] and [r.group for r in out.collect()] == kept
+
+
 def test_other_filters(spark):
     r = np.random.default_rng(1)
     kinds = ["qc" if i % 2 else "sample" for i in range(20)]
