@@ -97,18 +97,21 @@ def second_difference(df: DataFrame, keys: list[str], order: str, value: str, na
     return df.withColumn(name, F.col(value) - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w))
 
 
-def local_extrema(df: DataFrame, keys: list[str], order: str, value: str, name: str = "extremum") -> DataFrame:
-    """1 at local maxima, -1 at minima, else 0; a plateau counts at its middle, ends never do."""
+def local_extrema(df: DataFrame, keys: list[str], order: str, value: str, name: str = "extremum", plateaus: bool = True) -> DataFrame:
+    """1 at local maxima, -1 at minima, else 0; a plateau counts at its middle, ends never do.
+
+    Without ``plateaus`` a value counts only if it is beyond both of its neighbours, so no equal neighbours do.
+    """
     w = W.partitionBy(*keys).orderBy(order)
-    flat = df.withColumn("__r", F.when(F.col(value) == F.lag(value).over(w), 0).otherwise(1))
+    v = F.col(value)
+    beside = df.withColumns({"__before": F.lag(value).over(w), "__after": F.lead(value).over(w)})
+    kind = F.when((v > F.col("__before")) & (v > F.col("__after")), 1).when((v < F.col("__before")) & (v < F.col("__after")), -1).otherwise(0)
+    if not plateaus:
+        return beside.withColumn(name, kind).drop("__before", "__after")
+    flat = beside.withColumn("__r", F.when(v == F.col("__before"), 0).otherwise(1))
     flat = flat.withColumn("__r", F.sum("__r").over(w.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy(*keys, "__r").orderBy(order)
-    flat = flat.withColumn("__k", F.row_number().over(run)).withColumn("__n", F.count("*").over(W.partitionBy(*keys, "__r")))
-    ends = flat.groupBy(*keys, "__r").agg(F.first(value).alias("__v"))
-    rw = W.partitionBy(*keys).orderBy("__r")
-    before, after = F.lag("__v").over(rw), F.lead("__v").over(rw)
-    kind = F.when((F.col("__v") > before) & (F.col("__v") > after), 1).when((F.col("__v") < before) & (F.col("__v") < after), -1).otherwise(0)
-    ends = ends.withColumn("__kind", kind).drop("__v")
+    whole = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    flat = flat.withColumns({"__k": F.row_number().over(run), "__n": F.count("*").over(whole), "__before": F.first("__before").over(whole), "__after": F.last("__after").over(whole)})
     middle = F.col("__k") == F.floor((F.col("__n") - 1) / 2) + 1
-    out = flat.join(ends, [*keys, "__r"]).withColumn(name, F.when(middle, F.col("__kind")).otherwise(0))
-    return out.drop("__r", "__k", "__n", "__kind")
+    return flat.withColumn(name, F.when(middle, kind).otherwise(0)).drop("__r", "__k", "__n", "__before", "__after")

@@ -194,6 +194,24 @@ def test_joins_equal_brute_force(spark):
     assert [q.extremum for q in joins.local_extrema(e, ["k"], "t", "v").orderBy("t").collect()] == [0, 1, 0, 0, -1, 0, 0]
 
 
+def test_extrema_keep_null_keys(spark):
+    v = [1.0, 3.0, 3.0, 2.0, None, 2.0, 0.0, 5.0, float("nan"), 1.0]
+    e = spark.createDataFrame([(k, t, x) for k in (1, None) for t, x in enumerate(v)], "k int, t int, v double")
+    for plateaus, want in ((True, [0, 1, 0, 0, 0, 0, -1, 0, 1, 0]), (False, [0, 0, 0, 0, 0, 0, -1, 0, 1, 0])):
+        got = joins.local_extrema(e, ["k"], "t", "v", plateaus=plateaus)
+        assert got.columns == ["k", "t", "v", "extremum"]
+        rows = got.orderBy("k", "t").collect()
+        assert [r.extremum for r in rows] == want * 2 and {r.k for r in rows} == {1, None}
+
+
+def test_extrema_query_takes_no_plateau(spark, tmp_path):
+    rows = [(u, f"2024-01-20 0{h}:30:00", x) for u in (1, None) for h, x in enumerate([5.0, 8.0, 8.0, 2.0, 9.0, 1.0])]
+    e = spark.createDataFrame(rows, "user_id long, ts string, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    e.unionByName(e.limit(1).select(F.lit(3).cast("long").alias("user_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "value")).write.parquet(f"{tmp_path}/events.parquet")
+    out = Q.QUERIES["local_extrema"](spark, str(tmp_path)).collect()
+    assert {(r.user_id, r.h): r.extremum for r in out} == {(u, h): x for u in (1, None) for h, x in enumerate([0, 0, 0, -1, 1, 0])} | {(3, None): 0}
+
+
 def test_nearest_match_keeps_repeated_points(spark):
     p = spark.createDataFrame([(1, 1.0), (1, 1.0), (1, 1.0), (2, 5.0), (2, 5.0), (3, 9.0)], "id int, x double")
     t = spark.createDataFrame([(7, 1.2), (8, 5.1)], "t int, y double")
